@@ -1,0 +1,40 @@
+"""Scores from fixed points, in place of a fitted model."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ebbline import schema
+
+
+def _points(condition, weight):
+    return F.when(condition, weight).otherwise(0)
+
+
+def scorecard_scores(accounts: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Scored table ``(id, model, label, score, prediction)`` of two scorecards.
+
+    Both models come out of one pass; ``keep`` carries account columns along.
+    """
+    monthly = F.col("Contract") == "Month-to-month"
+    new = F.col("tenure") < 12
+    card_a = (_points(monthly, 3) + _points(new, 3) + F.col("MonthlyCharges") / 200.0) / 8.0
+    card_b = (
+        _points(monthly, 3)
+        + _points(F.col("InternetService") == "Fiber optic", 2)
+        + _points(new, 3)
+        + _points(F.col("PaymentMethod") == "Electronic check", 1)
+        + F.col("SeniorCitizen")
+    ).cast("double") / 10.0
+    cards = [
+        F.struct(F.lit(name).alias("model"), F.round(score, 2).alias("score"))
+        for name, score in (("card_a", card_a), ("card_b", card_b))
+    ]
+    rows = accounts.select("*", F.inline(F.array(*cards)))
+    return rows.select(
+        F.col(schema.ID).alias("id"),
+        "model",
+        F.coalesce((F.col(schema.LABEL) == "Yes").cast("int"), F.lit(0)).alias("label"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("prediction"),
+        *(keep or []),
+    )
