@@ -1,7 +1,8 @@
 """Every operator as a query over the test tables: name -> (spark, folder) -> DataFrame.
 
 Doubles are rounded to 6 places here, not in the operators, so that engines which add in
-another order agree.
+another order agree. The rounding is plain arithmetic, as decimal rounding is not the same
+in every engine.
 """
 
 from collections.abc import Callable
@@ -42,7 +43,10 @@ PRICED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 def rounded(df: DataFrame) -> DataFrame:
     return df.select(
-        *[(F.round(c, 6) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
+        *[
+            (F.floor(F.col(c) * 1_000_000 + 0.5) / F.lit(1e6)).alias(c) if t == "double" else F.col(c)
+            for c, t in df.dtypes
+        ]
     )
 
 
@@ -66,8 +70,15 @@ def on_table(name: str, table_name: str, plan: Callable[[DataFrame], DataFrame])
 # Inputs
 
 
+SCHEMAS = {}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A test table; its schema is read from the file once per name."""
+    path = f"{folder}/{name}.parquet"
+    if name not in SCHEMAS:
+        SCHEMAS[name] = spark.read.parquet(path).schema
+    return spark.read.schema(SCHEMAS[name]).parquet(path)
 
 
 def accounts(spark: SparkSession, folder: str) -> DataFrame:

@@ -114,7 +114,14 @@ def cumulative_gain(
         F.md5(F.concat(F.col(identifier).cast("string"), F.lit(f":{seed}")).cast("binary")).alias("_h"),
     )
     totals = running_totals(
-        rows, by, "score", ["one", "pos"], descending=True, tie="_h", tie_break=[identifier]
+        rows,
+        by,
+        "score",
+        ["one", "pos"],
+        descending=True,
+        tie="_h",
+        tie_break=[identifier],
+        staged=False,
     )
     taken = F.coalesce(ratio(F.col("run_one") - 1, F.col("all_one") - 1), F.lit(0.0))
     return totals.select(

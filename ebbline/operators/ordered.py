@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ebbline.sources.staging import stage
 
+# Up to this many rows, counted, one window per group is the quickest way.
+ONE_TASK_ROWS = 10_000
 MIN_CELLS = 64
 MAX_CELLS = 8192
 # Ties at one hot value are cut by this many leading hex digits of their tie-break hash.
@@ -46,21 +48,54 @@ def running_totals(
     tie: str | None = None,
     tie_break: list[str] | None = None,
     how: str = "sum",
+    staged: bool = True,
+    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """Add ``run_<m>`` (inclusive running sum) and ``all_<m>`` (group sum) per measure.
 
-    With ``how="max"`` both are maxima.
+    With ``how="max"`` both are maxima. ``order`` is a numeric column, unique inside a ``by``
+    group unless ``tie`` names a column of hex hashes; equal values are then ordered by
+    ``tie`` and ``tie_break``. Rows with a null key or order are left out.
 
-    ``order`` is a numeric column, unique inside a ``by`` group unless ``tie`` names a
-    column of hex hashes; equal values are then ordered by ``tie`` and ``tie_break``.
-    Rows with a null key or order are left out. Cell edges are quantiles of ``order`` over
-    all groups, so no cell of any group exceeds its share of the table; a value that alone
-    spans several quantiles gets its own cell, cut further by the leading digits of ``tie``.
+    The input is read three times (edges, cell totals, rows), so an aggregate is staged
+    first; pass ``staged=False`` for rows that are cheaper to read again than to write.
+    """
+    rows = df.dropna(subset=[*by, order])
+    key = F.col(order).cast("double")
+    ordering = [-key if descending else key, *([tie] if tie else []), *(tie_break or [])]
+    fold = {"sum": F.sum, "max": F.max}[how]
+    if staged:
+        rows = stage(rows, "ordered")
+        if rows.count() <= one_task_rows:
+            whole = Window.partitionBy(*by, F.lit(0))
+            up_to = whole.orderBy(*ordering).rowsBetween(
+                Window.unboundedPreceding, Window.currentRow
+            )
+            return rows.select(
+                "*",
+                *[fold(m).over(up_to).alias(f"run_{m}") for m in measures],
+                *[fold(m).over(whole).alias(f"all_{m}") for m in measures],
+            )
+    return _totals_by_cell(rows, by, ordering, measures, tie, how)
+
+
+def _totals_by_cell(
+    df: DataFrame,
+    by: list[str],
+    ordering: list,
+    measures: list[str],
+    tie: str | None,
+    how: str,
+) -> DataFrame:
+    """Running totals from cell totals.
+
+    Cell edges are quantiles of the order over all groups, so no cell of any group exceeds
+    its share of the table; a value that alone spans several quantiles gets its own cell,
+    cut further by the leading digits of ``tie``.
     """
     fold = {"sum": F.sum, "max": F.max}[how]
     cells = cell_count(df)
-    key = F.col(order).cast("double")
-    rows = df.dropna(subset=[*by, order]).withColumn("_key", -key if descending else key)
+    rows = df.withColumn("_key", ordering[0])
     quantiles = [i / cells for i in range(1, cells)]
     edges = rows.agg(
         F.percentile_approx("_key", quantiles, max(10_000, 10 * cells)).alias("edges")
@@ -79,7 +114,10 @@ def running_totals(
         hot = on_edge & (F.col("_at") > 1) & (edge(1) == F.col("_key"))
         digits = F.conv(F.substring(tie, 1, TIE_DIGITS), 16, 10).cast("int")
         sub = F.when(hot, digits).otherwise(0)
-    rows = rows.withColumns({"_cell": cell, "_sub": sub}).drop("_edges", "_at")
+    # Never null: else the join below would push a null check, and with it the search for
+    # the cell, down to every raw row.
+    places = {"_cell": F.coalesce(cell, F.lit(0)), "_sub": F.coalesce(sub, F.lit(0))}
+    rows = rows.withColumns(places).drop("_edges", "_at")
 
     place = [*by, "_cell", "_sub"]
     across = Window.partitionBy(*by, F.lit(0)).orderBy("_cell", "_sub")
@@ -91,7 +129,7 @@ def running_totals(
         *[fold(f"_cell_{m}").over(before).alias(f"_before_{m}") for m in measures],
         *[fold(f"_cell_{m}").over(whole).alias(f"all_{m}") for m in measures],
     )
-    inside = Window.partitionBy(*place).orderBy("_key", *([tie] if tie else []), *(tie_break or []))
+    inside = Window.partitionBy(*place).orderBy("_key", *ordering[1:])
     inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = rows.withColumns({f"_in_{m}": fold(m).over(inside) for m in measures})
 

@@ -1,6 +1,6 @@
 """Reading the customer table, and a stand-in derived from order tables."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbline import schema
@@ -25,12 +25,13 @@ def write_accounts_csv(df: DataFrame, path: str) -> None:
     )
 
 
-def _pick(digit: Column, bounds: list[tuple[str, str]], last: str) -> Column:
-    """First text whose upper bound (exclusive, a hex digit) lies above ``digit``."""
-    out = None
-    for bound, text in bounds:
-        out = F.when(digit < bound, text) if out is None else out.when(digit < bound, text)
-    return out.otherwise(last)
+def _digit(position: int) -> str:
+    return f"substring(m, {position}, 1)"
+
+
+def _addon(position: int, bound: str, name: str) -> str:
+    taken = f"IF({_digit(position)} < '{bound}', 'Yes', 'No')"
+    return f"IF(InternetService = 'No', 'No internet service', {taken}) AS {name}"
 
 
 def accounts_from_orders(customer: DataFrame, orders: DataFrame) -> DataFrame:
@@ -41,82 +42,52 @@ def accounts_from_orders(customer: DataFrame, orders: DataFrame) -> DataFrame:
     customer with very many orders costs one row per input partition.
     """
     spend = orders.groupBy("o_custkey").agg(F.avg("o_totalprice").alias("avg_price"))
-    base = customer.select("c_custkey").join(
+    joined = customer.select("c_custkey").join(
         spend, F.col("c_custkey") == F.col("o_custkey"), "left"
     )
-    md5 = F.md5(F.col("c_custkey").cast("string").cast("binary"))
-    base = base.select(
-        F.col("c_custkey").cast("string").alias("customerID"),
-        md5.alias("m"),
-        F.round(18.25 + F.coalesce("avg_price", F.lit(0.0)) / 5000.0, 2).alias("monthly"),
+    hashed = joined.selectExpr(
+        "string(c_custkey) AS customerID",
+        "md5(string(c_custkey)) AS m",
+        "round(18.25D + coalesce(avg_price, 0D) / 5000D, 2) AS MonthlyCharges",
     )
-
-    def digit(i: int) -> Column:
-        return F.substring("m", i, 1)
-
-    tenure = (F.conv(F.substring("m", 1, 2), 16, 10).cast("int") % 73).cast("int")
-    base = base.withColumns(
-        {
-            "tenure": tenure,
-            "SeniorCitizen": F.when(digit(4) < "3", 1).otherwise(0),
-            "PhoneService": _pick(digit(7), [("e", "Yes")], "No"),
-            "InternetService": _pick(digit(8), [("7", "Fiber optic"), ("c", "DSL")], "No"),
-            "Contract": _pick(
-                digit(9), [("9", "Month-to-month"), ("c", "One year")], "Two year"
-            ),
-            "PaymentMethod": _pick(
-                digit(11),
-                [
-                    ("5", "Electronic check"),
-                    ("9", "Mailed check"),
-                    ("d", "Bank transfer (automatic)"),
-                ],
-                "Credit card (automatic)",
-            ),
-        }
+    base = hashed.selectExpr(
+        "*",
+        "int(int(conv(substring(m, 1, 2), 16, 10)) % 73) AS tenure",
+        f"IF({_digit(4)} < '3', 1, 0) AS SeniorCitizen",
+        f"IF({_digit(7)} < 'e', 'Yes', 'No') AS PhoneService",
+        f"CASE WHEN {_digit(8)} < '7' THEN 'Fiber optic' WHEN {_digit(8)} < 'c' THEN 'DSL' "
+        "ELSE 'No' END AS InternetService",
+        f"CASE WHEN {_digit(9)} < '9' THEN 'Month-to-month' WHEN {_digit(9)} < 'c' THEN 'One year' "
+        "ELSE 'Two year' END AS Contract",
+        f"CASE WHEN {_digit(11)} < '5' THEN 'Electronic check' WHEN {_digit(11)} < '9' "
+        f"THEN 'Mailed check' WHEN {_digit(11)} < 'd' THEN 'Bank transfer (automatic)' "
+        "ELSE 'Credit card (automatic)' END AS PaymentMethod",
     )
-
-    def addon(position: int, bound: str) -> Column:
-        subscribed = _pick(digit(position), [(bound, "Yes")], "No")
-        return F.when(F.col("InternetService") == "No", "No internet service").otherwise(
-            subscribed
-        )
-
-    def points(condition: Column, weight: int) -> Column:
-        return F.when(condition, weight).otherwise(0)
-
     risk = (
-        F.lit(1)
-        + points(F.col("Contract") == "Month-to-month", 3)
-        + points(F.col("InternetService") == "Fiber optic", 2)
-        + points(F.col("tenure") < 12, 3)
-        + points(F.col("PaymentMethod") == "Electronic check", 1)
-        + F.col("SeniorCitizen")
+        "1 + 3 * int(Contract = 'Month-to-month') + 2 * int(InternetService = 'Fiber optic') "
+        "+ 3 * int(tenure < 12) + int(PaymentMethod = 'Electronic check') + SeniorCitizen"
     )
-    noise = F.conv(digit(20), 16, 10).cast("int")
-    total = F.round(F.col("tenure") * F.col("monthly"), 2).cast("string")
-    return base.select(
+    return base.selectExpr(
         "customerID",
-        _pick(digit(3), [("8", "Female")], "Male").alias("gender"),
+        f"IF({_digit(3)} < '8', 'Female', 'Male') AS gender",
         "SeniorCitizen",
-        _pick(digit(5), [("8", "Yes")], "No").alias("Partner"),
-        _pick(digit(6), [("5", "Yes")], "No").alias("Dependents"),
+        f"IF({_digit(5)} < '8', 'Yes', 'No') AS Partner",
+        f"IF({_digit(6)} < '5', 'Yes', 'No') AS Dependents",
         "tenure",
         "PhoneService",
-        F.when(F.col("PhoneService") == "No", "No phone service")
-        .otherwise(_pick(digit(12), [("7", "Yes")], "No"))
-        .alias("MultipleLines"),
+        f"IF(PhoneService = 'No', 'No phone service', IF({_digit(12)} < '7', 'Yes', 'No')) "
+        "AS MultipleLines",
         "InternetService",
-        addon(13, "6").alias("OnlineSecurity"),
-        addon(14, "7").alias("OnlineBackup"),
-        addon(15, "7").alias("DeviceProtection"),
-        addon(16, "6").alias("TechSupport"),
-        addon(17, "8").alias("StreamingTV"),
-        addon(18, "8").alias("StreamingMovies"),
+        _addon(13, "6", "OnlineSecurity"),
+        _addon(14, "7", "OnlineBackup"),
+        _addon(15, "7", "DeviceProtection"),
+        _addon(16, "6", "TechSupport"),
+        _addon(17, "8", "StreamingTV"),
+        _addon(18, "8", "StreamingMovies"),
         "Contract",
-        _pick(digit(10), [("9", "Yes")], "No").alias("PaperlessBilling"),
+        f"IF({_digit(10)} < '9', 'Yes', 'No') AS PaperlessBilling",
         "PaymentMethod",
-        F.col("monthly").alias("MonthlyCharges"),
-        F.when(F.col("tenure") == 0, " ").otherwise(total).alias("TotalCharges"),
-        F.when(noise < risk, "Yes").otherwise("No").alias("Churn"),
+        "MonthlyCharges",
+        "IF(tenure = 0, ' ', string(round(tenure * MonthlyCharges, 2))) AS TotalCharges",
+        f"IF(int(conv({_digit(20)}, 16, 10)) < {risk}, 'Yes', 'No') AS Churn",
     )
