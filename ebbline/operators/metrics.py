@@ -4,7 +4,7 @@ Every operator takes ``by``, the columns that name one evaluated run (model, or
 fold, or model and split).
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbline.functions.expressions import or_zero, ratio
@@ -121,30 +121,27 @@ def threshold_sweep(
     """
     by = by or ["model"]
     thresholds = sorted(thresholds or THRESHOLDS)
-    passed = F.lit(0)
-    for t in thresholds:
-        passed = passed + F.coalesce((F.col("score") >= t).cast("int"), F.lit(0))
+    passed = F.expr(" + ".join(f"coalesce(int(score >= {t!r}D), 0)" for t in thresholds))
     counted = scored.groupBy(*by, passed.alias("passed")).agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
     )
-    from_top = []
-    for i in range(len(thresholds) + 1):
-        reached = F.col("passed") >= i
-        for c in ("pos", "neg"):
-            from_top.append(F.sum(F.when(reached, F.col(c)).otherwise(0)).alias(f"{c}{i}"))
-    rows = []
-    for i, t in enumerate(thresholds, start=1):
-        tp, fp = F.col(f"pos{i}"), F.col(f"neg{i}")
-        fn = F.col("pos0") - tp
-        rows.append(
-            F.struct(
-                F.lit(t).alias("threshold"),
-                _precision(tp, fp).alias("precision"),
-                _precision(tp, fn).alias("recall"),
-                _f1(tp, fp, fn).alias("f1"),
-            )
-        )
-    return counted.groupBy(*by).agg(*from_top).select(*by, F.inline(F.array(*rows)))
+    # At most one counted row per run and number of thresholds passed.
+    steps = counted.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(len(thresholds)))))
+    reached = F.col("passed") >= F.col("step")
+    summed = steps.groupBy(*by, "step").agg(
+        F.sum(F.when(reached, F.col("pos")).otherwise(0)).alias("tp"),
+        F.sum(F.when(reached, F.col("neg")).otherwise(0)).alias("fp"),
+    )
+    all_positives = F.max("tp").over(Window.partitionBy(*by))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    levels = F.array(*[F.lit(t) for t in thresholds])
+    return summed.withColumn("fn", all_positives - tp).where("step > 0").select(
+        *by,
+        F.element_at(levels, F.col("step")).alias("threshold"),
+        _precision(tp, fp).alias("precision"),
+        _precision(tp, fn).alias("recall"),
+        _f1(tp, fp, fn).alias("f1"),
+    )
 
 
 def best_threshold(
