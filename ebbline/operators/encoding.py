@@ -1,12 +1,13 @@
 """Label, yes/no and category encoding."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbline import schema
 from ebbline.functions.expressions import flag
-from ebbline.operators.ordered import global_positions
+from ebbline.operators.ordered import ONE_TASK_ROWS, global_positions
 from ebbline.operators.profiling import is_text
+from ebbline.sources.staging import stage
 
 # A column with at most this many values is encoded by a CASE; others by a join.
 CASE_VALUES = 64
@@ -46,6 +47,10 @@ def fit_encoders(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     columns = columns or [c for c in schema.CATEGORY_COLUMNS if c in df.columns]
     texts = df.select(*[_as_category(F.col(c)).alias(c) for c in columns])
     vocabulary = texts.unpivot([], columns, "column_name", "value").distinct()
+    vocabulary = stage(vocabulary, "vocabulary")
+    if vocabulary.count() <= ONE_TASK_ROWS:
+        place = F.row_number().over(Window.partitionBy("column_name").orderBy("value")) - 1
+        return vocabulary.select("column_name", "value", place.alias("code"))
     placed = global_positions(vocabulary, ["column_name", "value"])
     starts = placed.groupBy("column_name").agg(F.min("position").alias("start"))
     # One row per encoded column.

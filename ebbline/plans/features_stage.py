@@ -61,11 +61,11 @@ class AccountFeatures(Estimator, _FeatureParams):
 
     def _fit(self, df: DataFrame) -> "AccountFeaturesModel":
         columns = [c for c in schema.CATEGORY_COLUMNS if c in df.columns]
-        codes = fit_encoders(df, columns)
-        if codes.count() > MAX_CATEGORIES:
+        codes = fit_encoders(df, columns).limit(MAX_CATEGORIES + 1).collect()
+        if len(codes) > MAX_CATEGORIES:
             raise ValueError(f"more than {MAX_CATEGORIES} categories; encode by a code table")
         vocabulary: dict[str, list[str]] = {c: [] for c in columns}
-        for row in codes.orderBy("column_name", "code").collect():
+        for row in sorted(codes, key=lambda r: r["code"]):
             vocabulary[row["column_name"]].append(row["value"])
         chain, names = self.getOrDefault("chain"), self.getInputCols()
         model = AccountFeaturesModel()
@@ -105,4 +105,5 @@ class AccountFeaturesModel(Model, _FeatureParams):
         if not self.getOrDefault("scaled"):
             return out
         moments = self.getOrDefault("moments")
-        return out.withColumns({c: (F.col(c) - moments[c][0]) / moments[c][1] for c in names})
+        scaled = {c: F.expr(f"(`{c}` - ({moments[c][0]!r}D)) / {moments[c][1]!r}D") for c in names}
+        return out.withColumns(scaled)

@@ -18,6 +18,7 @@ from ebbline.functions.expressions import flag
 from ebbline.operators.metrics import compare_models
 from ebbline.operators.splits import class_counts, class_weights
 from ebbline.plans.features_stage import AccountFeatures
+from ebbline.sources.staging import stage
 
 # The published parameters. Leaf penalties have no counterpart in Spark's trees.
 GBT_PRESETS = {
@@ -38,9 +39,10 @@ def training_frame(
     fitted = features.fit(df)
     assembler = VectorAssembler(inputCols=features.getInputCols(), outputCol="features")
     rows = assembler.transform(fitted.transform(df))
-    rows = rows.withColumn("label", flag(F.col(schema.LABEL) == "Yes"))
-    weighted = class_weights(rows, "label", weight_mode)
-    return weighted.select("features", "label", "weight", *keep), [fitted, assembler]
+    label = flag(F.col(schema.LABEL) == "Yes").alias("label")
+    # Written once: a fit reads its rows many times.
+    rows = stage(rows.select("features", label, *keep), "training")
+    return class_weights(rows, "label", weight_mode), [fitted, assembler]
 
 
 def _fit(df: DataFrame, classifier, features: AccountFeatures, weight_mode: str) -> PipelineModel:
