@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbline.functions.expressions import ratio
-from ebbline.operators.ordered import running_totals
+from ebbline.operators.ordered import running_totals, tie_hash
 
 
 def score_totals(
@@ -111,7 +111,7 @@ def cumulative_gain(
         "score",
         F.col("label").cast("bigint").alias("pos"),
         F.lit(1).cast("bigint").alias("one"),
-        F.md5(F.concat(F.col(identifier).cast("string"), F.lit(f":{seed}")).cast("binary")).alias("_h"),
+        tie_hash(F.concat(F.col(identifier).cast("string"), F.lit(f":{seed}"))).alias("_h"),
     )
     totals = running_totals(
         rows,

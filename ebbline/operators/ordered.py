@@ -10,17 +10,23 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ebbline.sources.staging import stage
+from ebbline.sources.staging import attach, stage
 
 # Up to this many rows, counted, one window per group is the quickest way.
-ONE_TASK_ROWS = 10_000
+ONE_TASK_ROWS = 20_000
 MIN_CELLS = 64
 MAX_CELLS = 8192
 # Quantile sketches: values kept per level, and groups of input partitions merged first.
 SKETCH_SIZE = 2000
 MERGE_GROUPS = 256
-# Ties at one hot value are cut by this many leading hex digits of their tie-break hash.
-TIE_DIGITS = 3
+# Ties are ordered by a 60-bit hash; a hot value is cut by its leading 12 bits.
+TIE_BITS = 60
+TIE_CELL_BITS = 12
+
+
+def tie_hash(text: Column) -> Column:
+    """The first 60 bits of the md5 of a text, as a number that sorts like its hex digits."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, TIE_BITS // 4), 16, 10).cast("bigint")
 
 
 def cell_count(df: DataFrame) -> int:
@@ -34,16 +40,58 @@ def _doubles(values: list[float]) -> Column:
     return F.expr(f"array({', '.join(f'{float(v)!r}D' for v in values)})")
 
 
-def _edges_at_or_below(edges: Column, key: Column, cells: int) -> Column:
-    """How many of the ``cells - 1`` sorted edges are <= key, by bisection."""
-    steps = F.array(*[F.lit(cells >> i) for i in range(1, cells.bit_length())])
-    return F.aggregate(
-        steps,
-        F.lit(0),
-        lambda found, step: F.when(
-            F.element_at(edges, found + step) <= key, found + step
-        ).otherwise(found),
+def _add_bisection(rows: DataFrame, cells: int) -> DataFrame:
+    """``_at``: how many of the ``cells - 1`` sorted ``_edges`` are <= ``_key``.
+
+    One projection per halving: all of them compile into the scan's loop.
+    """
+    rows = rows.withColumn("_at", F.lit(0))
+    step = cells >> 1
+    while step:
+        passed = f"element_at(_edges, _at + {step}) <= _key"
+        rows = rows.withColumn("_at", F.expr(f"_at + IF({passed}, {step}, 0)"))
+        step >>= 1
+    return rows
+
+
+def _edges(rows: DataFrame, cells: int) -> DataFrame:
+    """One staged row: estimated quantiles of ``_key`` over all groups, and the row count.
+
+    Written down, so that all readers of the edges see the same ones.
+    """
+    ranks = _doubles([i / cells for i in range(1, cells)])
+    sketch = _sketch(rows, [], "_key", max(SKETCH_SIZE, 4 * cells))
+    found = sketch.select(
+        F.kll_sketch_get_quantile_double("_s", ranks).alias("edges"),
+        F.kll_sketch_get_n_double("_s").alias("n"),
     )
+    return stage(found, "edges")
+
+
+def _add_cells(rows: DataFrame, edges: DataFrame, cells: int, tie: str | None = None) -> DataFrame:
+    """Place rows into cells by ``_key``: columns ``_cell`` and ``_sub``, never null.
+
+    The edges cut the whole table into equal shares, so no cell of any group exceeds its
+    share; a value that alone spans several quantiles gets its own cell, cut further by the
+    leading bits of ``tie``. (Were the columns nullable, a join on them would push a null
+    check, and with it the search for the cell, down to every raw row.)
+    """
+    rows = rows.withColumn("_edges", edges.select("edges").scalar())
+    rows = _add_bisection(rows, cells)
+
+    def edge(offset: int) -> Column:
+        position = F.greatest(F.col("_at") - offset, F.lit(1))
+        return F.element_at("_edges", position)
+
+    on_edge = (F.col("_at") > 0) & (edge(0) == F.col("_key"))
+    cell = 2 * F.col("_at") - on_edge.cast("int")
+    sub = F.lit(0)
+    if tie:
+        hot = on_edge & (F.col("_at") > 1) & (edge(1) == F.col("_key"))
+        leading = F.shiftright(F.col(tie), TIE_BITS - TIE_CELL_BITS).cast("int")
+        sub = F.when(hot, leading).otherwise(0)
+    places = {"_cell": F.coalesce(cell, F.lit(0)), "_sub": F.coalesce(sub, F.lit(0))}
+    return rows.withColumns(places).drop("_edges", "_at")
 
 
 def running_totals(
@@ -61,8 +109,8 @@ def running_totals(
     """Add ``run_<m>`` (inclusive running sum) and ``all_<m>`` (group sum) per measure.
 
     With ``how="max"`` both are maxima. ``order`` is a numeric column, unique inside a ``by``
-    group unless ``tie`` names a column of hex hashes; equal values are then ordered by
-    ``tie`` and ``tie_break``. Rows with a null key or order are left out.
+    group unless ``tie`` names a column of hashes (see ``tie_hash``); equal values are then
+    ordered by ``tie`` and ``tie_break``. Rows with a null key or order are left out.
 
     The input is read three times (edges, cell totals, rows), so an aggregate is staged
     first; pass ``staged=False`` for rows that are cheaper to read again than to write.
@@ -94,37 +142,11 @@ def _totals_by_cell(
     tie: str | None,
     how: str,
 ) -> DataFrame:
-    """Running totals from cell totals.
-
-    Cell edges are estimated quantiles of the order over all groups, so no cell of any group exceeds
-    its share of the table; a value that alone spans several quantiles gets its own cell,
-    cut further by the leading digits of ``tie``.
-    """
+    """Running totals inside cells, on top of the totals of the cells before."""
     fold = {"sum": F.sum, "max": F.max}[how]
-    cells = cell_count(df)
     rows = df.withColumn("_key", ordering[0])
-    ranks = _doubles([i / cells for i in range(1, cells)])
-    sketch = _sketch(rows, [], "_key", max(SKETCH_SIZE, 4 * cells))
-    # Written down, so that all readers of the edges see the same ones.
-    edges = stage(sketch.select(F.kll_sketch_get_quantile_double("_s", ranks).alias("e")), "edges")
-    rows = rows.withColumn("_edges", edges.scalar())
-    rows = rows.withColumn("_at", _edges_at_or_below(F.col("_edges"), F.col("_key"), cells))
-
-    def edge(offset: int) -> Column:
-        position = F.greatest(F.col("_at") - offset, F.lit(1))
-        return F.element_at("_edges", position)
-
-    on_edge = (F.col("_at") > 0) & (edge(0) == F.col("_key"))
-    cell = 2 * F.col("_at") - on_edge.cast("int")
-    sub = F.lit(0)
-    if tie:
-        hot = on_edge & (F.col("_at") > 1) & (edge(1) == F.col("_key"))
-        digits = F.conv(F.substring(tie, 1, TIE_DIGITS), 16, 10).cast("int")
-        sub = F.when(hot, digits).otherwise(0)
-    # Never null: else the join below would push a null check, and with it the search for
-    # the cell, down to every raw row.
-    places = {"_cell": F.coalesce(cell, F.lit(0)), "_sub": F.coalesce(sub, F.lit(0))}
-    rows = rows.withColumns(places).drop("_edges", "_at")
+    cells = cell_count(df)
+    rows = _add_cells(rows, _edges(rows, cells), cells, tie)
 
     place = [*by, "_cell", "_sub"]
     across = Window.partitionBy(*by, F.lit(0)).orderBy("_cell", "_sub")
@@ -153,40 +175,82 @@ def _totals_by_cell(
 
 
 def exact_quantiles(
-    df: DataFrame, by: list[str], value: str, probs: list[float]
+    df: DataFrame,
+    by: list[str],
+    value: str,
+    probs: list[float],
+    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """Linearly interpolated quantiles per group, exact at any size.
 
-    Equal values collapse to one counted row before the shuffle. Returns ``by``, ``n``,
-    ``min``, ``max`` and ``q0 .. qk`` in the order of ``probs``.
+    The rows of each cell are counted without moving them; only the cells that hold a wanted
+    rank are then looked into, equal values collapsed. Returns ``by``, ``n``, ``min``,
+    ``max`` and ``q0 .. qk`` in the order of ``probs``.
     """
-    counts = (
-        df.dropna(subset=[*by, value])
-        .groupBy(*by, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    ranked = running_totals(counts, by, "_v", ["c"])
-    first, past = F.col("run_c") - F.col("c"), F.col("run_c")
-
-    def holding(rank: Column) -> Column:
-        return F.max(F.when((first <= rank) & (rank < past), F.col("_v")))
+    key = F.col(value).cast("double")
+    rows = df.dropna(subset=[*by, value]).select(*by, key.alias("_key"))
+    cells = cell_count(df)
+    edges = _edges(rows, cells)
+    size = edges.select("n").first()
+    group = Window.partitionBy(*by, F.lit(0))
+
+    def rank(p: float) -> Column:
+        return F.floor(p * (F.col("n") - 1))
+
+    if size is None or size["n"] <= one_task_rows:
+        counts = rows.groupBy(*by, "_key").agg(F.count(F.lit(1)).alias("c"))
+        whole = {"n": F.sum("c"), "min": F.min("_key"), "max": F.max("_key")}
+        counts = counts.withColumns({name: x.over(group) for name, x in whole.items()})
+        place, skip = group, F.lit(0)
+    else:
+        ranks = F.array(*[x for p in probs for x in (rank(p), rank(p) + 1)])
+        counts = _counts_around(_add_cells(rows, edges, cells), by, group, ranks)
+        place, skip = Window.partitionBy(*by, "_cell"), F.col("skip")
+    up_to = place.orderBy("_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = counts.withColumn("past", skip + F.sum("c").over(up_to))
+    first = F.col("past") - F.col("c")
+
+    def holding(x: Column) -> Column:
+        return F.max(F.when((first <= x) & (x < F.col("past")), F.col("_key")))
 
     aggregates = []
     for i, p in enumerate(probs):
-        low = F.floor(p * (F.col("all_c") - 1))
-        aggregates += [holding(low).alias(f"_lo{i}"), holding(low + 1).alias(f"_hi{i}")]
-    picked = ranked.groupBy(*by).agg(
-        F.max("all_c").alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"), *aggregates
-    )
+        aggregates += [holding(rank(p)).alias(f"_lo{i}"), holding(rank(p) + 1).alias(f"_hi{i}")]
+    whole = [F.max("n").alias("n"), F.min("min").alias("min"), F.max("max").alias("max")]
+    picked = counts.groupBy(*by).agg(*whole, *aggregates)
     out = []
     for i, p in enumerate(probs):
-        position = p * (F.col("n") - 1)
-        part = position - F.floor(position)
+        part = p * (F.col("n") - 1) - rank(p)
         low, high = F.col(f"_lo{i}"), F.coalesce(f"_hi{i}", f"_lo{i}")
         out.append((low + (high - low) * part).alias(f"q{i}"))
     return picked.select(*by, "n", "min", "max", *out)
 
 
+def _counts_around(rows: DataFrame, by: list[str], group, ranks: Column) -> DataFrame:
+    """Counted values of the cells that hold one of the ranks (0-based, from size ``n``).
+
+    ``skip`` is the number of rows in the cells before.
+    """
+    place = [*by, "_cell"]
+    before = group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*place).agg(
+        F.count(F.lit(1)).alias("c"), F.min("_key").alias("lo"), F.max("_key").alias("hi")
+    )
+    totals = totals.select(
+        *place,
+        "c",
+        F.coalesce(F.sum("c").over(before), F.lit(0)).alias("skip"),
+        F.sum("c").over(group).alias("n"),
+        F.min("lo").over(group).alias("min"),
+        F.max("hi").over(group).alias("max"),
+    )
+    end = F.col("skip") + F.col("c")
+    holds = F.exists(ranks, lambda x: (x >= F.col("skip")) & (x < end))
+    held = stage(totals.where(holds).drop("c"), "held")
+    inside = attach(rows.select(*place, "_key"), held, place)
+    return inside.groupBy(*place, "skip", "n", "min", "max", "_key").agg(F.count(F.lit(1)).alias("c"))
+
+
 def _sketch(df: DataFrame, by: list[str], value: str, size: int) -> DataFrame:
     """One quantile sketch ``_s`` per group, merged in two steps.
 

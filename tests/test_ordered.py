@@ -91,6 +91,17 @@ def test_empty_and_null_input(spark):
     assert cumulative_gain(nothing).count() == 0
 
 
+def test_quantiles_by_cells_equal_one_cell(spark):
+    rows = hot_rows(spark, 5000)
+    probs = [0.0, 0.01, 0.33, 0.5, 0.77, 1.0]
+    one = exact_quantiles(rows, ["model"], "score", probs)
+    cells = exact_quantiles(rows, ["model"], "score", probs, one_task_rows=0)
+    assert cells.count() == 2 and cells.exceptAll(one).count() == 0
+    flat = exact_quantiles(rows, [], "score", probs, one_task_rows=0).first()
+    builtin = rows.agg(F.percentile("score", probs).alias("q")).first()["q"]
+    assert [flat[f"q{i}"] for i in range(len(probs))] == pytest.approx(builtin, abs=1e-12)
+
+
 @QUICK
 @given(st.lists(st.integers(-50, 50), min_size=1, max_size=40))
 def test_median_property(spark, values):
