@@ -478,6 +478,29 @@ acc(
     MID + CODES + f", lib AS ({library_rows('mid')})" + split_cte("lib", f'"{LABEL}"', f'"{ID}"', 0.2, 42),
 )
 
+
+
+def served(source: str) -> str:
+    """Profiles as the model sees them, before scaling: absent totals guessed, open buckets."""
+    changed = {c: e for c, e in {**CODED, **BINARY}.items()}
+    cells = [f'{changed[c]} AS "{c}"' if c in changed else f'"{c}"' for c in schema.RAW_FEATURES]
+    return f"""SELECT "{ID}", {', '.join(cells)}, {PER_MONTH} AS "ChargesPerMonth",
+      {OPEN_BUCKET.format(t="tenure")} AS "TenureGroup", {TOTAL_SERVICES} AS "TotalServices" FROM {source} AS src"""
+
+
+acc(
+    "prepare_profiles",
+    f'SELECT "{ID}", '
+    + ", ".join(r(scaled(c, "train"), f'"{c}"') for c in schema.LIBRARY_FEATURES)
+    + " FROM served",
+    NUMERIC
+    + CODES
+    + """, guessed AS (SELECT * REPLACE (coalesce("TotalCharges", "MonthlyCharges" * tenure) AS "TotalCharges") FROM num),
+    fresh AS (SELECT * REPLACE ("MonthlyCharges" * tenure AS "TotalCharges",
+      CASE WHEN tenure > 60 THEN 'Weekly' ELSE "Contract" END AS "Contract") FROM num)"""
+    + f", train AS ({served('guessed')}), served AS ({served('fresh')})",
+)
+
 # Segments
 
 CHURNED = "\"Churn\" = 'Yes'"

@@ -1,6 +1,6 @@
 """First look at a table: shape, description, missing values, label shares."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,7 +109,7 @@ def missing_report(df: DataFrame, columns: list[str] | None = None) -> DataFrame
 def label_distribution(df: DataFrame, label: str = schema.LABEL) -> DataFrame:
     """Count and share of each label (C4)."""
     counts = df.dropna(subset=[label]).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
+    total = df.agg(F.count(label)).scalar()
     return counts.select(F.col(label).alias("label"), "n", (F.col("n") / total).alias("share"))
 
 
