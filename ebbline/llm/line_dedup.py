@@ -8,6 +8,8 @@ and each document's lines rebuilt in place without those it loses. What is shuff
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ebbline.sources.staging import stage
+
 # White space stripped from a line's ends.
 STRIPPED = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,11 +50,9 @@ def drop_shared_lines(
 
     keys = F.array_distinct(F.filter(F.transform(_lines("text"), long_key), lambda k: k.isNotNull()))
     held = plain.where("doc_id is not null").select("doc_id", F.explode(keys).alias("key"))
-    # One row per document and key, also where an id has several rows.
-    repeated = plain.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    repeated = repeated.where("rows > 1").select("doc_id")
-    once = held.join(repeated, "doc_id", "left_anti").union(held.join(repeated, "doc_id", "left_semi").distinct())
-    shared = once.groupBy("key").agg(F.count(F.lit(1)).alias("documents"), F.max("doc_id").alias("keeper"))
+    # Hashes only, read twice; one row per document and key, also where an id has several rows.
+    held = stage(held.distinct(), "lines")
+    shared = held.groupBy("key").agg(F.count(F.lit(1)).alias("documents"), F.max("doc_id").alias("keeper"))
     shared = shared.where(F.col("documents") >= min_documents).select("key", "keeper")
     lost = held.join(shared, "key").where("doc_id <> keeper")
     lost = lost.groupBy("doc_id").agg(F.collect_set("key").alias("lost"))
