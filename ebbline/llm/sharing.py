@@ -1,6 +1,9 @@
 """Broadcast of objects whose classes the executors need not have."""
 
 import pickle
+import sys
+from collections.abc import Callable
+from types import ModuleType
 
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import SparkSession
@@ -13,3 +16,11 @@ def share(session: SparkSession, value: object) -> Broadcast:
 
 def opened(shared: Broadcast):
     return pickle.loads(shared.value)
+
+
+def kept_in_worker(name: str, make: Callable):
+    """A value that a Python worker makes once and keeps for its later tasks."""
+    kept = sys.modules.setdefault("_kept_in_worker", ModuleType("_kept_in_worker")).__dict__
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]

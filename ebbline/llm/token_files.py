@@ -8,6 +8,7 @@ A row knows its shard (partition) and the ids before it there; the shards' total
 task, give the place in the whole corpus.
 """
 
+import re
 import zlib
 
 import numpy as np
@@ -17,46 +18,66 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ebbline.llm import blocks
+from ebbline.llm.sharing import kept_in_worker
 
 SEGMENT_IDS = 1 << 18
-# Pieces between spaces or line ends whose ids a worker remembers, and their greatest length.
-REMEMBERED = 400_000
+# Pieces whose ids a worker remembers: those between spaces or line ends, and the words and runs of
+# marks that they are put together from. Longer ones are not kept.
+REMEMBERED, REMEMBERED_PARTS = 400_000, 200_000
 LONGEST_REMEMBERED = 48
+# Pieces handed to the tokenizer together.
+TOGETHER = 4096
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_PARTS = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,;:!?#$%&*|]+)")
 
 _SEGMENTS = "shard int, seq bigint, before bigint, doc_ids array<bigint>, lengths array<bigint>, segment binary"
 
 
 class PieceEncoder:
-    """Ids of texts, each piece between spaces or line ends encoded once and remembered.
+    """Ids of texts, each distinct piece encoded once by the tokenizer and remembered.
 
-    For tokenizers that never join pieces across a space or a line end, as those that drop white
-    space; ``tests/llm`` compares it with whole texts. When the memory is full it starts anew.
+    For tokenizers that lower-case, drop white space and part a run of letters from the marks
+    after it: then a piece's ids don't depend on the pieces around it. ``tests/llm`` compares it
+    with whole texts. A full memory takes no more; what is not in it is encoded each time.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch(pieces, add_special_tokens=False)
-        return {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(pieces, found)}
+        self.pieces: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {}
+
+    def _learn(self, missing: list[str]) -> dict[str, bytes]:
+        """Ids of pieces, by their parts."""
+        lowered = [p.translate(_LOWER) for p in missing]
+        parted = [m.groups() if (m := _PARTS.fullmatch(q)) else (q,) for q in lowered]
+        new = list({x for parts in parted for x in parts if x not in self.parts})
+        fresh: dict[str, bytes] = {}
+        for i in range(0, len(new), TOGETHER):
+            some = new[i : i + TOGETHER]
+            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            fresh.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(some, found))
+        known = self.parts
+        out = {p: b"".join([known[x] if x in known else fresh[x] for x in parts]) for p, parts in zip(missing, parted)}
+        for x, ids in fresh.items():
+            if len(known) < REMEMBERED_PARTS and len(x) <= LONGEST_REMEMBERED:
+                known[x] = ids
+        return out
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of a text."""
         pieces = text.replace("\n", " ").split(" ")
+        known = self.pieces
         try:
-            return b"".join([self.known[p] for p in pieces])
+            return b"".join([known[p] for p in pieces])
         except KeyError:
             pass
-        missing = list({p for p in pieces if p not in self.known})
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.known = {"": b""}
-            missing = list({p for p in pieces if p})
-        learned = self._learn(missing)
-        ids = b"".join([self.known[p] if p in self.known else learned[p] for p in pieces])
-        self.known.update((p, b) for p, b in learned.items() if len(p) <= LONGEST_REMEMBERED)
+        learned = self._learn(list({p for p in pieces if p not in known}))
+        ids = b"".join([known[p] if p in known else learned[p] for p in pieces])
+        for p, one in learned.items():
+            if len(known) < REMEMBERED and len(p) <= LONGEST_REMEMBERED:
+                known[p] = one
         return ids
 
 
@@ -77,7 +98,7 @@ def write_token_files(
     end = np.array([end_id], "<u4").tobytes()
 
     def segments(batches):
-        encoder = PieceEncoder(tokenizer)
+        encoder = kept_in_worker(f"encoder {tokenizer}", lambda: PieceEncoder(tokenizer))
         shard = TaskContext.get().partitionId()
         seq = before = size = 0
         ids, lengths, pieces = [], [], []
