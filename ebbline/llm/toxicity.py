@@ -123,7 +123,7 @@ class Voter:
         self.evidence = [sorted(entries[key][3])[:EVIDENCE] for key in keys]
         self.weights = weights
         total = self.votes.sum(axis=0) + blank
-        self.base = float((total[1] + 0.5) / (total.sum() + 1.0))
+        self.base = float((total[1] + 0.1) / (total.sum() + 1.0))
         self.blank = (blank[1] + self.base) / (sum(blank) + 1.0)
         self.slope, self.shift = 1.0, 0.0
 
@@ -287,8 +287,8 @@ def score_toxicity(
     ``labels`` (doc_id, toxic) are the rows to learn from; nothing but a text enters its score.
     A null or empty text, and one without any of the terms, scores like the examples without
     terms and has no evidence. Rows that repeat an id are scored each by its own text; an id
-    labelled twice counts as toxic if any label says so; without labels every score is the prior
-    one half or less. Other columns are not looked at; an empty table gives an empty result.
+    labelled twice counts as toxic if any label says so; without labels every score is a low
+    prior. Other columns are not looked at; an empty table gives an empty result.
     """
     plain = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     shared = share(docs.sparkSession, fit(plain, labels))
