@@ -23,11 +23,14 @@ from ebbline.llm.sharing import kept_in_worker
 SEGMENT_IDS = 1 << 18
 # Pieces whose ids a worker remembers: those between spaces or line ends, and the words and runs of
 # marks that they are put together from. Longer ones are not kept.
-REMEMBERED, REMEMBERED_PARTS = 400_000, 200_000
+REMEMBERED, REMEMBERED_PARTS = 300_000, 1_000_000
 LONGEST_REMEMBERED = 48
 # Pieces handed to the tokenizer together.
 TOGETHER = 4096
+# Characters of whole texts whose new pieces are learnt together.
+RUN_CHARS = 1 << 22
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_LETTERS = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 _PARTS = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,;:!?#$%&*|]+)")
 
 _SEGMENTS = "shard int, seq bigint, before bigint, doc_ids array<bigint>, lengths array<bigint>, segment binary"
@@ -50,10 +53,21 @@ class PieceEncoder:
 
     def _learn(self, missing: list[str]) -> dict[str, bytes]:
         """Ids of pieces, by their parts."""
-        lowered = [p.translate(_LOWER) for p in missing]
+        lowered = [p.lower() if p.isascii() else p.translate(_LOWER) for p in missing]
         parted = [m.groups() if (m := _PARTS.fullmatch(q)) else (q,) for q in lowered]
         new = list({x for parts in parted for x in parts if x not in self.parts})
         fresh: dict[str, bytes] = {}
+        single = [x for x in new if _LETTERS.fullmatch(x)]
+        new = [x for x in new if not _LETTERS.fullmatch(x)]
+        for i in range(0, len(single), TOGETHER):
+            some = single[i : i + TOGETHER]
+            # Words of letters are one pre-token each: encoded as one text, parted by word number.
+            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids = np.array(found.ids, "<u4").tobytes()
+            cuts = np.flatnonzero(np.diff(np.array(found.word_ids), prepend=-1, append=len(some))) * 4
+            if len(cuts) != len(some) + 1:
+                raise ValueError("the tokenizer parts or joins words of letters")
+            fresh.update((x, ids[a:b]) for x, a, b in zip(some, cuts.tolist(), cuts[1:].tolist()))
         for i in range(0, len(new), TOGETHER):
             some = new[i : i + TOGETHER]
             found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
@@ -65,20 +79,32 @@ class PieceEncoder:
                 known[x] = ids
         return out
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of a text."""
-        pieces = text.replace("\n", " ").split(" ")
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        parted = [text.replace("\n", " ").split(" ") for text in texts]
         known = self.pieces
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            pass
-        learned = self._learn(list({p for p in pieces if p not in known}))
-        ids = b"".join([known[p] if p in known else learned[p] for p in pieces])
-        for p, one in learned.items():
-            if len(known) < REMEMBERED and len(p) <= LONGEST_REMEMBERED:
-                known[p] = one
-        return ids
+        missing = set().union(*parted).difference(known)
+        ids = known if not missing else known | (learned := self._learn(list(missing)))
+        out = [b"".join([ids[p] for p in pieces]) for pieces in parted]
+        if missing:
+            for p, one in learned.items():
+                if len(known) >= REMEMBERED:
+                    break
+                if len(p) <= LONGEST_REMEMBERED:
+                    known[p] = one
+        return out
+
+
+def _runs(texts: list[str]):
+    """Consecutive texts of about ``RUN_CHARS`` in all."""
+    first = size = 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= RUN_CHARS:
+            yield texts[first : i + 1]
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield texts[first:]
 
 
 def write_token_files(
@@ -118,8 +144,10 @@ def write_token_files(
             )
 
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = encoder.encode(text.as_py()) + end
+            docs = batch.column(0).to_pylist()
+            found_all = (x for run in _runs(batch.column(1).to_pylist()) for x in encoder.encode(run))
+            for i, found in zip(docs, found_all):
+                found += end
                 if ids and size + len(found) // 4 > SEGMENT_IDS:
                     yield row()
                     seq, before, size = seq + 1, before + size, 0
