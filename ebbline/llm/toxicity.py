@@ -22,9 +22,9 @@ from ebbline.sources.staging import stage
 
 # The bound of the fit, per label, and of its vocabulary.
 EXAMPLES = 8192
-TERMS = 4096
+TERMS = 256
 LEAST_DOCUMENTS = 5
-LEAST_Z = 5.0
+LEAST_Z = 6.0
 NEIGHBOURS = 30
 POWER = 4
 PRIOR_WEIGHT = 0.5
