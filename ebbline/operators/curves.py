@@ -50,7 +50,8 @@ def roc_points(
 ) -> DataFrame:
     """A point per distinct score, and the start at (0, 0) with no threshold (V5)."""
     by = by or ["model"]
-    totals = score_totals(scored, by, decimals=decimals)
+    # A score whose labels are all null is no point, and must not look like the first one.
+    totals = score_totals(scored.where("label in (0, 1)"), by, decimals=decimals)
     point = F.struct(
         ratio(F.col("run_neg"), F.col("all_neg")).alias("fpr"),
         ratio(F.col("run_pos"), F.col("all_pos")).alias("tpr"),
@@ -69,7 +70,8 @@ def pr_points(
 ) -> DataFrame:
     """Precision and recall per distinct score, and the end at recall 0, precision 1 (V7)."""
     by = by or ["model"]
-    totals = score_totals(scored, by, decimals=decimals)
+    # A score whose labels are all null is no point, and must not look like the first one.
+    totals = score_totals(scored.where("label in (0, 1)"), by, decimals=decimals)
     point = F.struct(
         ratio(F.col("run_pos"), F.col("run_pos") + F.col("run_neg")).alias("precision"),
         ratio(F.col("run_pos"), F.col("all_pos")).alias("recall"),
@@ -88,9 +90,9 @@ def pr_points(
 def average_precision(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Step sum of precision over recall, and the share of positives as baseline (V8)."""
     by = by or ["model"]
-    step = F.col("pos") * F.col("run_pos") / (F.col("run_pos") + F.col("run_neg"))
+    step = F.col("pos").cast("double") * F.col("run_pos") / (F.col("run_pos") + F.col("run_neg"))
     pos, neg = F.max("all_pos"), F.max("all_neg")
-    return score_totals(scored, by).groupBy(*by).agg(
+    return score_totals(scored.where("label in (0, 1)"), by).groupBy(*by).agg(
         F.try_divide(F.sum(step), pos.cast("double")).alias("average_precision"),
         ratio(pos, pos + neg).alias("baseline"),
     )

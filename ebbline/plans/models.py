@@ -71,8 +71,8 @@ def fit_logistic(df: DataFrame, max_iter: int = 1000, c: float = 1.0, chain="not
 
 
 def fit_forest(df: DataFrame, trees: int = 100, depth: int = 6, chain="notebook"):
-    """Balanced random forest (M2); Spark's trees end at depth 30."""
-    classifier = RandomForestClassifier(numTrees=trees, maxDepth=min(depth, 30), seed=SEED)
+    """Balanced random forest (M2); Spark refuses a depth above 30."""
+    classifier = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED)
     return _fit(df, _columns(classifier), AccountFeatures(chain=chain), "balanced")
 
 

@@ -51,7 +51,8 @@ def attach(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "inner")
     """
     if stats.count() <= MAX_BROADCAST_ROWS:
         return df.join(F.broadcast(stats), keys, how)
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+    # By place, which differs between equal rows too.
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)))
     copies = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     copies = copies.withColumn("_salt", F.col("_salt").cast("bigint"))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")

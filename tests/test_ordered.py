@@ -201,3 +201,31 @@ def test_box_plot_of_known_values(spark):
     assert (box["p25"], box["p50"], box["p75"]) == (3.25, 5.5, 7.75)
     assert (box["whisker_low"], box["whisker_high"], box["n_outliers"]) == (1.0, 9.0, 1)
     assert [r["value"] for r in distributions.box_outliers(df, "v", ["g"], []).collect()] == [100.0]
+
+
+def test_points_skip_scores_without_labels(spark):
+    from ebbline.operators.curves import average_precision, pr_points, roc_points
+
+    rows = [("m", 0.9, None), ("m", 0.8, 1), ("m", 0.5, 0), ("m", 0.4, None)]
+    scored = spark.createDataFrame(rows, "model string, score double, label int")
+    known = scored.where("label is not null")
+    for curve in (roc_points, pr_points, average_precision):
+        assert sorted(map(str, curve(scored).collect())) == sorted(map(str, curve(known).collect()))
+
+
+def test_attach_spreads_equal_rows(spark, monkeypatch):
+    from ebbline.sources import staging
+
+    monkeypatch.setattr(staging, "MAX_BROADCAST_ROWS", 0)
+    rows = spark.createDataFrame([("a", 1)] * 5000, "k string, v int")
+    joined = staging.attach(rows, staging.stage(spark.createDataFrame([("a", 2)], "k string, w int")), ["k"])
+    assert joined.count() == 5000 and joined.agg({"w": "max"}).first()[0] == 2
+
+
+def test_wider_latin_range(spark):
+    from pyspark.sql import functions as F
+
+    from ebbline.functions.text import OUTSIDE_WIDER_LATIN, clean_display
+
+    one = spark.createDataFrame([("- Việt ẞ ☂",)], "t string")
+    assert one.select(clean_display(F.col("t"), OUTSIDE_WIDER_LATIN)).first()[0] == "Việt ẞ"
