@@ -29,6 +29,9 @@ NEIGHBOURS = 30
 POWER = 4
 PRIOR_WEIGHT = 0.5
 BLOCK = 64
+# Blocks looked into before the bounds decide, and texts searched for together.
+FIRST_BLOCKS = 16
+TOGETHER = 128
 EVIDENCE = 3
 SEED = 4
 _REMEMBERED = 100_000
@@ -44,55 +47,64 @@ def _doc_words(column: pa.Array):
 
 
 class Index:
-    """Exact cosine search over weighted, unit-length rows by bounds per block."""
+    """Exact cosine search over weighted, unit-length rows by bounds per block.
+
+    The postings of a block are held together: the terms that occur in it and their weights in
+    each of its entries. Many queries are answered at once, block by block.
+    """
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]):
         self.size = len(rows)
-        self.blocks = -(-self.size // BLOCK)
-        terms = np.concatenate([*[t for t, _ in rows], np.zeros(0, np.int64)]).astype(np.int64)
-        weights = np.concatenate([*[w for _, w in rows], np.zeros(0)])
-        entry = np.repeat(np.arange(self.size), [len(t) for t, _ in rows])
-        order = np.lexsort((entry, terms))
-        terms, self.entry, self.weight = terms[order], entry[order], weights[order]
-        self.terms, starts = np.unique(terms, return_index=True)
-        self.starts = np.append(starts, len(terms))
-        block = self.entry // BLOCK
-        new = np.ones(len(terms), bool)
-        new[1:] = (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])
-        first = np.flatnonzero(new)
-        self.block = block[first]
-        self.block_most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
-        self.block_starts = np.searchsorted(first, self.starts)
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` entries of greatest positive cosine, ties by place, and their cosines."""
-        place = np.searchsorted(self.terms, terms)
-        known = np.flatnonzero(place < len(self.terms))
-        known = known[self.terms[place[known]] == terms[known]]
-        lists = [(place[i], weights[i]) for i in known]
-        bound = np.zeros(self.blocks)
-        for t, w in lists:
-            own = slice(self.block_starts[t], self.block_starts[t + 1])
-            bound[self.block[own]] += w * self.block_most[own]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        found, cosine = np.zeros(0, np.int64), np.zeros(0)
-        at, step, least = 0, 4, 0.0
-        while at < len(order) and bound[order[at]] >= least - 1e-12:
-            opened = np.zeros(self.blocks, bool)
-            opened[order[at : at + step]] = True
-            at, step = at + step, 2 * step
-            sums = np.zeros(self.size)
-            for t, w in lists:
-                own = slice(self.starts[t], self.starts[t + 1])
-                inside = opened[self.entry[own] // BLOCK]
-                sums[self.entry[own][inside]] += w * self.weight[own][inside]
-            some = np.flatnonzero(sums)
-            found, cosine = np.append(found, some), np.append(cosine, sums[some])
-            best = np.lexsort((found, -np.round(cosine, 12)))[:k]
-            found, cosine = found[best], cosine[best]
-            least = cosine[-1] if len(found) == k else 0.0
-        return found, np.minimum(cosine, 1.0)
+        self.terms = np.unique(np.concatenate([*[t for t, _ in rows], np.zeros(0, np.int64)]).astype(np.int64))
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.most = np.zeros((len(self.terms), -(-self.size // BLOCK)))
+        for block, first in enumerate(range(0, self.size, BLOCK)):
+            some = rows[first : first + BLOCK]
+            at = np.searchsorted(self.terms, np.concatenate([t for t, _ in some]))
+            held, place = np.unique(at, return_inverse=True)
+            postings = np.zeros((len(held), len(some)))
+            postings[place, np.repeat(np.arange(len(some)), [len(t) for t, _ in some])] = np.concatenate([w for _, w in some])
+            self.parts.append((held, postings))
+            self.most[held, block] = postings.max(axis=1)
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each query's ``k`` entries of greatest positive cosine, ties by place.
+
+        Place of the query, of the entry, and the cosine (12 digits), nearest first.
+        """
+        if not self.size or not queries:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        own = np.repeat(np.arange(len(queries)), [len(t) for t, _ in queries])
+        terms = np.concatenate([t for t, _ in queries])
+        place = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        known = self.terms[place] == terms
+        asked = np.zeros((len(queries), len(self.terms)))
+        asked[own[known], place[known]] = np.concatenate([w for _, w in queries])[known]
+        bound = asked @ self.most
+        cosine = np.zeros((len(queries), self.size))
+
+        def look_into(wanted: np.ndarray) -> None:
+            for block in np.flatnonzero(wanted.any(axis=0)):
+                who = np.flatnonzero(wanted[:, block])
+                held, postings = self.parts[block]
+                cosine[who, block * BLOCK : block * BLOCK + postings.shape[1]] = asked[np.ix_(who, held)] @ postings
+
+        # The k-th best of the likeliest blocks; then every block whose bound reaches it.
+        likely = np.argsort(-bound, axis=1, kind="stable")[:, : FIRST_BLOCKS + k // BLOCK]
+        opened = np.zeros(bound.shape, bool)
+        np.put_along_axis(opened, likely, True, axis=1)
+        opened &= bound > 0
+        look_into(opened)
+        entries = (likely[:, :, None] * BLOCK + np.arange(BLOCK)).reshape(len(queries), -1)
+        best = np.where(entries < self.size, np.take_along_axis(cosine, np.minimum(entries, self.size - 1), axis=1), 0.0)
+        least = np.partition(best, -k, axis=1)[:, -k] if best.shape[1] >= k else np.zeros(len(queries))
+        look_into((bound > 0) & (bound >= least[:, None] - 1e-11) & ~opened)
+        query, entry = np.divmod(np.flatnonzero(cosine >= np.maximum(least - 1e-11, 1e-300)[:, None]), self.size)
+        found = np.minimum(np.round(cosine[query, entry], 12), 1.0)
+        order = np.lexsort((entry, -found, query))
+        query, entry, found = query[order], entry[order], found[order]
+        kept = np.arange(len(query)) - np.searchsorted(query, query) < k
+        return query[kept], entry[kept], found[kept]
 
 
 class Voter:
@@ -131,16 +143,32 @@ class Voter:
         weight = (1.0 + np.log(counts)) * self.idf[places]
         return places, weight / np.sqrt((weight**2).sum())
 
-    def vote(self, places, counts, without: tuple[bytes, int] | None = None) -> tuple[float, list[int]]:
-        """Uncalibrated share of toxic votes; ``without`` names an example to leave out."""
-        found, cosine = self.index.search(*self.vector(places, counts), NEIGHBOURS)
-        votes = self.votes[found].copy()
-        if without is not None:
-            votes[found == self.place[without[0]], without[1]] -= self.weights[without[1]]
-        weight = cosine**POWER
-        yes, both = float(weight @ votes[:, 1]), float(weight @ votes.sum(axis=1))
-        evidence = [d for i in found[:EVIDENCE] for d in self.evidence[i]][:EVIDENCE]
-        return max(0.0, (yes + PRIOR_WEIGHT * self.base) / (max(both, 0.0) + PRIOR_WEIGHT)), evidence
+    def vote(
+        self, vectors: list[tuple[np.ndarray, np.ndarray]], without: list[tuple[bytes, int]] | None = None
+    ) -> tuple[np.ndarray, list[list[int]]]:
+        """Uncalibrated shares of toxic votes, and evidence, of (places, counts) pairs.
+
+        ``without`` names, for each of them, an example to leave out.
+        """
+        shares, evidence = np.zeros(len(vectors)), []
+        for first in range(0, len(vectors), TOGETHER):
+            some = vectors[first : first + TOGETHER]
+            query, found, cosine = self.index.search([self.vector(p, c) for p, c in some], NEIGHBOURS)
+            votes = self.votes[found]
+            if without is not None:
+                own = without[first : first + TOGETHER]
+                place = np.array([self.place[key] for key, _ in own])
+                label = np.array([t for _, t in own])
+                left = np.flatnonzero(found == place[query])
+                votes[left, label[query[left]]] -= np.array([self.weights[0], self.weights[1]])[label[query[left]]]
+            weight = cosine**POWER
+            yes = np.bincount(query, weight * votes[:, 1], len(some))
+            both = np.maximum(np.bincount(query, weight * votes.sum(axis=1), len(some)), 0.0)
+            shares[first : first + len(some)] = np.maximum((yes + PRIOR_WEIGHT * self.base) / (both + PRIOR_WEIGHT), 0.0)
+            starts = np.searchsorted(query, np.arange(len(some) + 1))
+            for a, b in zip(starts[:-1], starts[1:]):
+                evidence.append([d for i in found[a : min(b, a + EVIDENCE)] for d in self.evidence[i]][:EVIDENCE])
+        return shares, evidence
 
     def calibrate(self, shares: np.ndarray, labels: np.ndarray) -> None:
         """A logistic curve over the votes' log odds, by Newton steps, weighted like the labels."""
@@ -261,11 +289,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Voter:
     def own_votes(batches):
         voter = opened(shared)
         for batch in batches:
-            out = []
-            for doc, label, places, counts in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                places, counts = np.array(places, np.int64), np.array(counts, np.int64)
-                key = places.tobytes() + counts.tobytes()
-                out.append(voter.vote(places, counts, (key, label))[0] if len(places) else voter.blank)
+            vectors = [(np.array(p, np.int64), np.array(c, np.int64)) for p, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            held = [i for i, (places, _) in enumerate(vectors) if len(places)]
+            labels = batch.column(1).to_pylist()
+            own = [(vectors[i][0].tobytes() + vectors[i][1].tobytes(), labels[i]) for i in held]
+            out = np.full(len(batch), voter.blank)
+            out[held] = voter.vote([vectors[i] for i in held], own)[0]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.float64())], ["toxic", "share"])
 
     listed = [(d, t, p.tolist(), c.tolist()) for d, t, p, c in rows]
@@ -299,20 +328,16 @@ def score_toxicity(
         nothing = (voter.score(voter.blank), [])
         known: dict[bytes, tuple] = {}
         for batch in batches:
-            scores, evidence = [], []
-            for places, counts in _vectors(batch.column("text"), finder):
-                if len(places):
-                    key = places.tobytes() + counts.tobytes()
-                    if key not in known:
-                        if len(known) >= _REMEMBERED:
-                            known.clear()
-                        share, near = voter.vote(places, counts)
-                        known[key] = (voter.score(share), near)
-                    one = known[key]
-                else:
-                    one = nothing
-                scores.append(one[0])
-                evidence.append(one[1])
+            vectors = list(_vectors(batch.column("text"), finder))
+            keys = [places.tobytes() + counts.tobytes() for places, counts in vectors]
+            new = {key: v for key, v in zip(keys, vectors) if len(v[0]) and key not in known}
+            if len(known) + len(new) > _REMEMBERED:
+                known = {}
+                new = {key: v for key, v in zip(keys, vectors) if len(v[0])}
+            for key, share, near in zip(new, *voter.vote(list(new.values()))):
+                known[key] = (voter.score(share), near)
+            found = [known.get(key, nothing) for key in keys]
+            scores, evidence = [x[0] for x in found], [x[1] for x in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, pa.list_(pa.int64()))],
                 ["doc_id", "score", "predicted", "evidence"],

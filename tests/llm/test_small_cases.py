@@ -195,10 +195,14 @@ def test_search_is_exact():
     index, full = toxicity.Index(rows), np.zeros((700, 30))
     for i, (t, w) in enumerate(rows):
         full[i, t] = w
-    for t, w in rows[:20]:
-        cosine = full[:, t] @ w
-        found, value = index.search(t, w, 10)
-        assert np.allclose(np.sort(cosine)[::-1][:10], value)
+    asked = [*rows[:300], (np.array([3, 99]), np.array([0.6, 0.8])), (np.array([99]), np.array([1.0]))]
+    query, found, value = index.search(asked, 10)
+    for i, (t, w) in enumerate(asked):
+        cosine = np.round(full[:, t[t < 30]] @ w[t < 30], 12)
+        best = np.lexsort((np.arange(700), -cosine))[:10]
+        best = best[cosine[best] > 0]
+        assert found[query == i].tolist() == best.tolist()
+        assert np.allclose(value[query == i], cosine[best])
 
 
 def test_toxicity_held_out_accuracy_and_odd_rows(spark, odd):
