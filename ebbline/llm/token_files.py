@@ -29,9 +29,9 @@ LONGEST_REMEMBERED = 48
 TOGETHER = 4096
 # Characters of whole texts whose new pieces are learnt together.
 RUN_CHARS = 1 << 22
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+# Marks that may follow a run of letters.
+_MARKS = ".,;:!?#$%&*|"
 _LETTERS = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+")
-_PARTS = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,;:!?#$%&*|]+)")
 
 _SEGMENTS = "shard int, seq bigint, before bigint, doc_ids array<bigint>, lengths array<bigint>, segment binary"
 
@@ -49,42 +49,65 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.pieces: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {}
-
-    def _learn(self, missing: list[str]) -> dict[str, bytes]:
-        """Ids of pieces, by their parts."""
-        lowered = [p.lower() if p.isascii() else p.translate(_LOWER) for p in missing]
-        parted = [m.groups() if (m := _PARTS.fullmatch(q)) else (q,) for q in lowered]
-        new = list({x for parts in parted for x in parts if x not in self.parts})
-        fresh: dict[str, bytes] = {}
-        single = [x for x in new if _LETTERS.fullmatch(x)]
-        new = [x for x in new if not _LETTERS.fullmatch(x)]
-        for i in range(0, len(single), TOGETHER):
-            some = single[i : i + TOGETHER]
-            # Words of letters are one pre-token each: encoded as one text, parted by word number.
+        self.words: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {"": b""}
+
+    def _encoded_words(self, words: list[str]):
+        """Ids of words of letters, which are one pre-token each: encoded as one text, parted by word number."""
+        for i in range(0, len(words), TOGETHER):
+            some = words[i : i + TOGETHER]
             found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             ids = np.array(found.ids, "<u4").tobytes()
             cuts = np.flatnonzero(np.diff(np.array(found.word_ids), prepend=-1, append=len(some))) * 4
             if len(cuts) != len(some) + 1:
                 raise ValueError("the tokenizer parts or joins words of letters")
-            fresh.update((x, ids[a:b]) for x, a, b in zip(some, cuts.tolist(), cuts[1:].tolist()))
-        for i in range(0, len(new), TOGETHER):
-            some = new[i : i + TOGETHER]
+            cuts = cuts.tolist()
+            yield from ((x, ids[a:b]) for x, a, b in zip(some, cuts, cuts[1:]))
+
+    def _encoded_others(self, others: list[str]):
+        for i in range(0, len(others), TOGETHER):
+            some = others[i : i + TOGETHER]
             found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            fresh.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(some, found))
-        known = self.parts
-        out = {p: b"".join([known[x] if x in known else fresh[x] for x in parts]) for p, parts in zip(missing, parted)}
-        for x, ids in fresh.items():
-            if len(known) < REMEMBERED_PARTS and len(x) <= LONGEST_REMEMBERED:
-                known[x] = ids
+            yield from ((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(some, found))
+
+    def _learn(self, missing) -> dict[str, bytes]:
+        """Ids of pieces, by their parts: a word of letters and marks after it, or else the whole."""
+        words, others = self.words, self.others
+        out: dict[str, bytes] = {}
+        rest: list[tuple[str, str, str]] = []
+        for p in missing:
+            if p in words:
+                out[p] = words[p]
+                continue
+            word = p.rstrip(_MARKS)
+            marks = p[len(word) :]
+            if word in words and marks in others:
+                out[p] = words[word] + others[marks]
+            elif word in words or _LETTERS.fullmatch(word):
+                rest.append((p, word, marks))
+            elif p in others:
+                out[p] = others[p]
+            else:
+                rest.append((p, "", p))
+        new_words = dict(self._encoded_words(list({w for _, w, _ in rest if w and w not in words})))
+        new_others = dict(self._encoded_others(list({o for _, _, o in rest if o not in others})))
+        for p, word, other in rest:
+            first = b"" if not word else words[word] if word in words else new_words[word]
+            out[p] = first + (others[other] if other in others else new_others[other])
+        for known, fresh in ((words, new_words), (others, new_others)):
+            for x, ids in fresh.items():
+                if len(words) + len(others) < REMEMBERED_PARTS and len(x) <= LONGEST_REMEMBERED:
+                    known[x] = ids
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        parted = [text.replace("\n", " ").split(" ") for text in texts]
+        # The bytes' lower() changes A-Z alone.
+        lowered = (text.lower() if text.isascii() else text.encode().lower().decode() for text in texts)
+        parted = [text.replace("\n", " ").split(" ") for text in lowered]
         known = self.pieces
         missing = set().union(*parted).difference(known)
-        ids = known if not missing else known | (learned := self._learn(list(missing)))
+        ids = known if not missing else known | (learned := self._learn(missing))
         out = [b"".join([ids[p] for p in pieces]) for pieces in parted]
         if missing:
             for p, one in learned.items():
