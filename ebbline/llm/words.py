@@ -10,6 +10,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from ebbline.llm.sharing import kept_in_worker
+
 RUN_BYTES = 1 << 20
 
 # White space, as byte codes.
@@ -45,15 +47,15 @@ for _low, _high in (("0", "9"), ("A", "Z"), ("a", "z")):
     LETTERED[ord(_low) : ord(_high) + 1] = True
 LETTERED[0x80:] = True
 
-_powers = {"up": np.ones(1, np.uint64), "back": np.ones(1, np.uint64)}
-
 
 def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
-    if len(_powers[name]) < n:
+    # Not a global of this module: those are sent along with every function that uses it.
+    powers = kept_in_worker("powers", dict)
+    if len(powers.get(name, ())) < n:
         steps = np.full(max(n, 2 * RUN_BYTES), base, np.uint64)
         steps[0] = 1
-        _powers[name] = np.multiply.accumulate(steps)
-    return _powers[name][:n]
+        powers[name] = np.multiply.accumulate(steps)
+    return powers[name][:n]
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
