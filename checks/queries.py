@@ -74,11 +74,11 @@ SCHEMAS = {}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A test table; its schema is read from the file once per name."""
+    """A test table; its schema is read from the file once per path."""
     path = f"{folder}/{name}.parquet"
-    if name not in SCHEMAS:
-        SCHEMAS[name] = spark.read.parquet(path).schema
-    return spark.read.schema(SCHEMAS[name]).parquet(path)
+    if path not in SCHEMAS:
+        SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(SCHEMAS[path]).parquet(path)
 
 
 def accounts(spark: SparkSession, folder: str) -> DataFrame:
