@@ -44,7 +44,7 @@ LEVELS = (2, 16, 256)
 # Counted shingles are cut to 48 bits; equal cuts of different shingles only raise a level.
 COUNT_BITS = 48
 # Shingles counted together in a task before they are handed on.
-FLUSH = 1 << 22
+FLUSH = 1 << 21
 # Largest light size ever considered; the cost decides below it.
 MAX_LIGHT = 19
 SKETCH_BITS = 1024
@@ -99,7 +99,10 @@ def common_levels(texts: DataFrame, width: int, ranges: int) -> np.ndarray:
         held, size = [], 0
 
         def rows():
-            values, counts = np.unique(np.concatenate(held) >> np.uint64(64 - COUNT_BITS), return_counts=True)
+            values = np.concatenate(held)
+            held.clear()
+            values >>= np.uint64(64 - COUNT_BITS)
+            values, counts = np.unique(values, return_counts=True)
             at = np.searchsorted(values >> shift, np.arange((1 << bits) + 1, dtype=np.uint64))
             kept = [i for i in range(1 << bits) if at[i + 1] > at[i]]
             packed = [_packed(values[at[i] : at[i + 1]], counts[at[i] : at[i + 1]]) for i in kept]
@@ -111,7 +114,7 @@ def common_levels(texts: DataFrame, width: int, ranges: int) -> np.ndarray:
                 size += len(one)
                 if size >= FLUSH:
                     yield rows()
-                    held, size = [], 0
+                    size = 0
         if size:
             yield rows()
 
