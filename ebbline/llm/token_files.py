@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ebbline.llm import blocks
-from ebbline.llm.sharing import kept_in_worker
+from ebbline.llm.sharing import forget_in_worker, kept_in_worker
 
 SEGMENT_IDS = 1 << 18
 # Pieces whose ids a worker remembers: those between spaces or line ends, and the words and runs of
@@ -147,7 +147,10 @@ def write_token_files(
     end = np.array([end_id], "<u4").tobytes()
 
     def segments(batches):
-        encoder = kept_in_worker(f"encoder {tokenizer}", lambda: PieceEncoder(tokenizer))
+        encoders = kept_in_worker("encoders", dict)
+        if tokenizer not in encoders:
+            encoders[tokenizer] = PieceEncoder(tokenizer)
+        encoder = encoders[tokenizer]
         shard = TaskContext.get().partitionId()
         seq = before = size = 0
         ids, lengths, pieces = [], [], []
@@ -195,6 +198,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     offsets = totals.select("shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
 
     def documents(batches):
+        # What the writers remember is of no more use in this worker.
+        forget_in_worker("encoders")
         for batch in batches:
             columns = [batch.column(i) for i in range(5)]
             for shard, before, ids, lengths, segment in zip(*columns):
