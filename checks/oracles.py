@@ -182,12 +182,16 @@ def described_number(column: str, source: str) -> str:
 def described_text(column: str, source: str) -> str:
     none = ", ".join(f"CAST(NULL AS DOUBLE) AS {c}" for c in ("mean", "std", "min", "p25", "p50", "p75", "max"))
     return f"""SELECT '{column}' AS column_name, CAST(sum(c) AS BIGINT) AS n_values, count(*) AS n_distinct,
-      (SELECT "{column}" FROM {source} WHERE "{column}" IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS top,
+      (SELECT CAST("{column}" AS VARCHAR) FROM {source} WHERE "{column}" IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS top,
       max(c) AS top_count, {none}
       FROM (SELECT "{column}" AS v, count(*) AS c FROM {source} WHERE "{column}" IS NOT NULL GROUP BY 1)"""
 
 
 NUMBERS = ["SeniorCitizen", "tenure", "MonthlyCharges", "TotalCharges"]
+LINE_NUMBERS = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+    "l_discount", "l_tax",
+]
 acc(
     "describe_all",
     " UNION ALL ".join(
@@ -198,8 +202,15 @@ acc(
 raw(
     "describe_lineitem",
     " UNION ALL ".join(
-        [described_number(c, "lineitem") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]
-        + [described_text(c, "lineitem") for c in ("l_returnflag", "l_linestatus")]
+        [described_number(c, "lineitem") for c in LINE_NUMBERS]
+        + [described_text(c, "lineitem") for c in ("l_returnflag", "l_linestatus", "l_shipdate")]
+    ),
+)
+raw(
+    "describe_events",
+    " UNION ALL ".join(
+        [described_number(c, "events") for c in ("event_id", "user_id", "value")]
+        + [described_text(c, "events") for c in ("ts", "event_type", "props")]
     ),
 )
 acc(
@@ -542,14 +553,22 @@ def crosstab(columns: list[str], label: str, values: list[str], source: str) ->
 CROSSED = [*schema.DEMOGRAPHIC_COLUMNS, "PhoneService", "MultipleLines", "InternetService", *schema.INTERNET_ADDONS, *schema.PLAN_COLUMNS]
 acc("crosstab_pct", crosstab(CROSSED, LABEL, ["No", "Yes"], "accounts"))
 raw("crosstab_lineitem", crosstab(["l_linenumber", "l_discount"], "l_returnflag", ["A", "N", "R"], "lineitem"))
-acc(
-    "churner_heatmap",
+HEATMAP = (
     "SELECT g.tenure_group, "
     + ", ".join(
         f"""count(*) FILTER (WHERE a."Contract" = '{c}') AS "{c}\"""" for c in schema.CONTRACTS
     )
-    + f""" FROM (VALUES (0, '0-12m'), (1, '12-24m'), (2, '24-48m'), (3, '48-72m')) AS g(code, tenure_group)
-    LEFT JOIN (SELECT *, {BUCKET.format(low=">=")} AS code FROM accounts WHERE {CHURNED}) a ON a.code = g.code GROUP BY 1""",
+    + f""", count(*) FILTER (WHERE a.code IS NOT NULL
+      AND coalesce(a."Contract", '') NOT IN ('{"', '".join(schema.CONTRACTS)}')) AS other FROM (VALUES (0, '0-12m'), (1, '12-24m'), (2, '24-48m'), (3, '48-72m')) AS g(code, tenure_group)
+    LEFT JOIN (SELECT *, {BUCKET.format(low=">=")} AS code FROM accounts WHERE {CHURNED}) a ON a.code = g.code GROUP BY 1"""
+)
+acc("churner_heatmap", HEATMAP)
+acc(
+    "churner_heatmap_other",
+    HEATMAP.replace(
+        "SELECT *,",
+        """SELECT * REPLACE (CASE "tenure" % 3 WHEN 1 THEN 'Weekly' WHEN 2 THEN "Contract" END AS "Contract"),""",
+    ),
 )
 acc(
     "service_rates",

@@ -187,7 +187,8 @@ def saved_model_scores(spark, folder):
 on_accounts("table_profile", profiling.table_profile)
 on_accounts("table_preview", lambda a: profiling.preview(a, 5, [ID]))
 on_accounts("describe_all", lambda a: profiling.describe_all(numeric(a)))
-on_table("describe_lineitem", "lineitem", lambda t: profiling.describe_all(t, [*PRICED, "l_returnflag", "l_linestatus"]))
+on_table("describe_lineitem", "lineitem", profiling.describe_all)
+on_table("describe_events", "events", profiling.describe_all)
 on_accounts("missing_report", lambda a: profiling.missing_report(numeric(a)))
 on_accounts("label_distribution", profiling.label_distribution)
 on_table("label_distribution_lineitem", "lineitem", lambda t: profiling.label_distribution(t, "l_returnflag"))
@@ -313,6 +314,12 @@ on_accounts(
 CROSSED = [*schema.DEMOGRAPHIC_COLUMNS, "PhoneService", "MultipleLines", "InternetService", *schema.INTERNET_ADDONS, *schema.PLAN_COLUMNS]
 on_accounts("crosstab_pct", lambda a: segments.crosstab_pct(a, CROSSED))
 on_accounts("churner_heatmap", segments.churner_heatmap)
+on_accounts(
+    "churner_heatmap_other",
+    lambda a: segments.churner_heatmap(
+        a.withColumn("Contract", F.when(F.col("tenure") % 3 != 0, F.when(F.col("tenure") % 3 == 1, "Weekly").otherwise(F.col("Contract"))))
+    ),
+)
 on_accounts("service_rates", segments.service_rates)
 on_accounts("hierarchy_counts", lambda a: segments.hierarchy_counts(a, "PaymentMethod", LABEL))
 on_accounts("risk_segments", segments.risk_segments)

@@ -12,6 +12,10 @@ def is_text(df: DataFrame, column: str) -> bool:
     return column in df.columns and isinstance(df.schema[column].dataType, T.StringType)
 
 
+def is_number(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, T.NumericType)
+
+
 def _one_row_to_many(df: DataFrame, structs: list) -> DataFrame:
     return df.select(F.inline(F.array(*structs)))
 
@@ -47,7 +51,7 @@ def _long(df: DataFrame, columns: list[str], as_type: str, name: str, value: str
 
 
 def describe_numbers(df: DataFrame, columns: list[str], approx: bool = False) -> DataFrame:
-    values = _long(df, columns, "double", "column_name", "value")
+    values = _long(df, columns, "double", "column_name", "value").where(~F.isnan("value"))
     moments = values.groupBy("column_name").agg(
         F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")
     )
@@ -83,10 +87,13 @@ def describe_texts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def describe_all(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
-    """Count, distinct, top value, mean, sample std and quartiles of every column."""
+    """Count, distinct, top value, mean, sample std and quartiles of every column.
+
+    What is no number (dates, timestamps, booleans) is described by its text. NaN counts as missing.
+    """
     columns = columns or df.columns
-    texts = [c for c in columns if is_text(df, c)]
-    numbers = [c for c in columns if c not in texts]
+    numbers = [c for c in columns if is_number(df, c)]
+    texts = [c for c in columns if c not in numbers]
     parts = []
     if numbers:
         parts.append(describe_numbers(df, numbers, approx))

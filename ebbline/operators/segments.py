@@ -70,7 +70,7 @@ def _long(df: DataFrame, keep: list, columns: list[str], name: str, value: str)
     long = df.select(*keep, *texts).unpivot(
         [c for c in keep], [f"_v_{c}" for c in columns], name, value
     )
-    return long.withColumn(name, F.substring(name, 4, 1000)).where(F.col(value).isNotNull())
+    return long.withColumn(name, F.expr(f"substring(`{name}`, 4)")).where(F.col(value).isNotNull())
 
 
 def crosstab_pct(
@@ -93,19 +93,25 @@ def crosstab_pct(
 
 
 def churner_heatmap(df: DataFrame, contracts: list[str] | None = None) -> DataFrame:
-    """Churners by tenure bucket and contract, wide, empty cells 0."""
+    """Churners by tenure bucket and contract, wide, empty cells 0.
+
+    Contracts that are not listed, and null, count under ``other``.
+    """
     contracts = contracts or schema.CONTRACTS
     group = tenure_bucket(F.col("tenure"), TENURE_LABELS)
+    tests = [F.col("Contract") == c for c in contracts]
+    tests.append(~F.coalesce(F.col("Contract").isin(contracts), F.lit(False)))
+    names = [*contracts, "other"]
     cells = [
-        F.count_if((group == g) & (F.col("Contract") == c)).alias(f"_{i}_{j}")
+        F.count_if((group == g) & test).alias(f"_{i}_{j}")
         for i, g in enumerate(TENURE_LABELS)
-        for j, c in enumerate(contracts)
+        for j, test in enumerate(tests)
     ]
     counted = df.where(_churned()).agg(*cells)
     rows = [
         F.struct(
             F.lit(g).alias("tenure_group"),
-            *[F.col(f"_{i}_{j}").alias(c) for j, c in enumerate(contracts)],
+            *[F.col(f"_{i}_{j}").alias(c) for j, c in enumerate(names)],
         )
         for i, g in enumerate(TENURE_LABELS)
     ]

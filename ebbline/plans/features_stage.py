@@ -37,10 +37,17 @@ class _FeatureParams(HasInputCols, DefaultParamsReadable, DefaultParamsWritable)
         self._setDefault(chain="notebook", scaled=False, inputCols=schema.NOTEBOOK_FEATURES)
 
 
+def with_raw_columns(df: DataFrame) -> DataFrame:
+    """Every raw feature column; absent ones are null."""
+    kinds = {f.name: f.dataType for f in schema.ACCOUNT_SCHEMA if f.name in schema.RAW_FEATURES}
+    absent = {c: F.lit(None).cast(t) for c, t in kinds.items() if c not in df.columns}
+    return df.withColumns(absent) if absent else df
+
+
 def _raw_features(df: DataFrame, chain: str) -> DataFrame:
     """Numeric charges with absent totals defaulted, and the flags that read raw texts."""
-    cleaned = coerce_numeric(df) if "TotalCharges" in df.columns else df
-    cleaned = default_total_charges(cleaned)
+    numbers = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("tenure", "MonthlyCharges")}
+    cleaned = default_total_charges(coerce_numeric(with_raw_columns(df).withColumns(numbers)))
     return add_notebook_features(cleaned) if chain == "notebook" else cleaned
 
 
@@ -80,8 +87,8 @@ class AccountFeatures(Estimator, _FeatureParams):
 class AccountFeaturesModel(Model, _FeatureParams):
     """Raw profiles to encoded, completed and scaled feature columns.
 
-    An unseen category becomes code 0, an absent feature the constant 0, absent total charges
-    the monthly charge times the months; tenure buckets are open at both ends.
+    An unseen category becomes code 0, absent total charges the monthly charge times the
+    months, any other absent or null feature 0; tenure buckets are open at both ends.
     """
 
     vocabulary = Param(Params._dummy(), "vocabulary", "sorted values per category column")
@@ -94,14 +101,15 @@ class AccountFeaturesModel(Model, _FeatureParams):
     def _transform(self, df: DataFrame) -> DataFrame:
         chain, names = self.getOrDefault("chain"), self.getInputCols()
         out = encode_binary(_raw_features(df, chain))
-        coded = {}
+        # A column that training lacked has no codes: all 0.
+        coded = {c: F.lit(0) for c in schema.CATEGORY_COLUMNS}
         for column, values in self.getOrDefault("vocabulary").items():
-            if column in out.columns:
-                text = F.coalesce(F.col(column).cast("string"), F.lit("nan"))
-                place = F.array_position(F.array(*[F.lit(v) for v in values]), text)
-                coded[column] = F.greatest(place - 1, F.lit(0)).cast("int")
+            text = F.coalesce(F.col(column).cast("string"), F.lit("nan"))
+            place = F.array_position(F.array(*[F.lit(v) for v in values]), text)
+            coded[column] = F.greatest(place - 1, F.lit(0)).cast("int")
         out = _late_features(out.withColumns(coded), chain)
         out = with_feature_columns(out, names)
+        out = out.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in names})
         if not self.getOrDefault("scaled"):
             return out
         moments = self.getOrDefault("moments")

@@ -20,6 +20,8 @@ from ebbline.sources.staging import attach, stage
 
 # The searched ranges, as (kind, low, high) or a list of choices. Leaf
 # penalties, bagging temperature and random strength have no counterpart in Spark's trees.
+# A split penalty there is a loss summed over a node's rows, Spark's least gain a mean per row:
+# its ranges (0 to 0.5, wide 0 to 1) are divided by 100.
 SPACE_A = {
     "maxIter": ("int", 100, 499),
     "maxDepth": ("int", 3, 9),
@@ -27,7 +29,7 @@ SPACE_A = {
     "subsamplingRate": ("uniform", 0.6, 1.0),
     "featureSubsetStrategy": ("uniform", 0.6, 1.0),
     "minInstancesPerNode": ("int", 1, 9),
-    "minInfoGain": ("uniform", 0.0, 0.5),
+    "minInfoGain": ("uniform", 0.0, 0.005),
 }
 SPACE_B = {
     "maxIter": [200, 300, 500],
@@ -47,7 +49,7 @@ SPACE_WIDE_A = {
     "subsamplingRate": ("uniform", 0.5, 1.0),
     "featureSubsetStrategy": ("uniform", 0.5, 1.0),
     "minInstancesPerNode": ("int", 1, 10),
-    "minInfoGain": ("uniform", 0.0, 1.0),
+    "minInfoGain": ("uniform", 0.0, 0.01),
 }
 SPACE_WIDE_B = {
     "maxIter": ("int", 100, 600),
@@ -136,8 +138,9 @@ def grid_points(grid: dict) -> list[dict]:
 
 
 def grid_search(df, grid=None, k=3, preset="a", **options):
-    """A fixed grid, cross-validated (T4)."""
-    return cross_validate(df, grid_points(grid or GRID), k, preset, **options)
+    """A fixed grid, cross-validated (T4): every tree sees all rows and columns."""
+    base = {"subsamplingRate": 1.0, "featureSubsetStrategy": "all", **(options.pop("base", None) or {})}
+    return cross_validate(df, grid_points(grid or GRID), k, preset, base=base, **options)
 
 
 def refine_grid(best: dict | None = None) -> dict:
@@ -151,16 +154,17 @@ def refine_grid(best: dict | None = None) -> dict:
     }
 
 
-def fine_tune(df, best=None, k=5, grid=None, **options):
-    """Cross-validate the refining grid."""
-    best = best or {}
-    base = {
-        "maxIter": 300,
-        "subsamplingRate": best.get("subsamplingRate", 0.8),
-        "featureSubsetStrategy": str(best.get("featureSubsetStrategy", 0.8)),
-    }
-    base.update(options.pop("base", None) or {})
-    return cross_validate(df, grid_points(grid or refine_grid(best)), k, "a", base=base, **options)
+def fine_tune(df, best=None, k=5, grid=None, preset="a", **options):
+    """Cross-validate the refining grid around a point, of which all else is kept.
+
+    The best point returned holds every parameter that was fitted beside the preset's own.
+    """
+    start = {"subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"} if preset == "a" else {}
+    base = {"maxIter": 300, **start, **(options.pop("base", None) or {}), **(best or {})}
+    base = {name: _value(name, v) for name, v in base.items()}
+    points = grid_points(grid or refine_grid(best))
+    trials, model, point = cross_validate(df, points, k, preset, base=base, **options)
+    return trials, model, {**base, **point}
 
 
 def wide_search(df, space=None, n=100, k=5, preset="a", refine=True, grid=None, **options):
@@ -169,11 +173,11 @@ def wide_search(df, space=None, n=100, k=5, preset="a", refine=True, grid=None,
     trials, model, best = random_search(df, space, n, k, preset=preset, study="wide", **options)
     if not refine:
         return trials, model, best
-    more, refined, point = fine_tune(df, best, k, grid, study="refined", **options)
+    more, refined, point = fine_tune(df, best, k, grid, preset, study="refined", **options)
     both = rank_trials(trials.unionByName(more).drop("rank"), whole=True)
     top = {r["study"]: r["top"] for r in both.groupBy("study").agg(F.max("score").alias("top")).collect()}
     if top["refined"] >= top["wide"]:
-        return both, refined, {**best, **point}
+        return both, refined, point
     return both, model, best
 
 

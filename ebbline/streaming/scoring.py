@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ebbline import schema
 from ebbline.functions.expressions import risk_level
 from ebbline.operators.decisions import decision_columns, recommendations
+from ebbline.plans.features_stage import with_raw_columns
 from ebbline.plans.models import score
 from pyspark.sql import functions as F
 
@@ -33,9 +34,9 @@ def decide(scored: DataFrame) -> DataFrame:
 
 
 def score_stream(stream: DataFrame, model: PipelineModel, name: str) -> DataFrame:
-    """Stateless scoring with a fitted pipeline."""
+    """Stateless scoring with a fitted pipeline (P9); absent columns count as null."""
     keep = ["_raw." + c for c in ADVICE_COLUMNS]
-    kept = stream.withColumn("_raw", F.struct(*ADVICE_COLUMNS))
+    kept = with_raw_columns(stream).withColumn("_raw", F.struct(*ADVICE_COLUMNS))
     return decide(score(kept, model, name, keep))
 
 

@@ -107,3 +107,24 @@ def test_search_refits_the_best(spark, parts, tmp_path):
     assert auc(models.score(parts[1], model, "tuned")) > 0.55
     prepared.write_search_results(trials, str(tmp_path / "search"))
     assert spark.read.option("header", True).csv(str(tmp_path / "search")).count() == 2
+
+
+@pytest.mark.parametrize("column", ["tenure", "MonthlyCharges", "TechSupport", "Contract", "SeniorCitizen"])
+def test_absent_and_null_columns_score_alike(parts, logistic, column):
+    profiles = parts[1].limit(20).drop("TotalCharges")
+    empty = profiles.withColumn(column, F.lit(None).cast(profiles.schema[column].dataType))
+    one = scoring.score_stream(profiles.drop(column), logistic, "m")
+    two = scoring.score_stream(empty, logistic, "m")
+    assert one.count() == 20 and one.exceptAll(two).count() == 0
+    if column in ("tenure", "MonthlyCharges", "SeniorCitizen"):
+        zero = models.score(profiles.withColumn(column, F.lit(0)), logistic, "m").select("id", "score")
+        assert models.score(empty, logistic, "m").select("id", "score").exceptAll(zero).count() == 0
+
+
+def test_refined_search_returns_what_it_fitted(parts):
+    best = {"maxIter": 3, "maxBins": 16, "minInfoGain": 0.001}
+    grid = {"maxDepth": [2], "minInstancesPerNode": [1, 3]}
+    _, model, point = tuning.fine_tune(parts[0], best, 2, grid, preset="b")
+    again = models.fit_gbt(parts[0], "b", **point)
+    assert best.items() <= point.items()
+    assert auc(models.score(parts[1], model, "m")) == auc(models.score(parts[1], again, "m"))
