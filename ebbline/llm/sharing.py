@@ -24,9 +24,3 @@ def kept_in_worker(name: str, make: Callable):
     if name not in kept:
         kept[name] = make()
     return kept[name]
-
-
-def forget_in_worker(name: str) -> None:
-    """Free what ``kept_in_worker`` keeps under a name, once no task needs it any more."""
-    if "_kept_in_worker" in sys.modules:
-        sys.modules["_kept_in_worker"].__dict__.pop(name, None)
