@@ -1,15 +1,20 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine, with evidence.
 
 The examples are a bounded sample of labelled rows: up to ``EXAMPLES`` of either label, those
-with the lowest hashes, weighted back to the labels' counts. Terms are words whose share of
-documents differs between the labels beyond chance; their document frequencies are counted over
-all documents. Examples with equal vectors are one entry, with the weight of each label. An
-inverted index over the entries keeps the greatest weight of each term in each block of entries;
-a search opens blocks in the order of their bounds and stops when no bound reaches the k-th best
-cosine, so the neighbours are exact. Votes weigh by a power of the cosine; a logistic curve,
-fitted to the examples' votes without themselves, turns them into probabilities.
+with the lowest hashes, weighted back to the labels' counts. Every word of an example is a term;
+its document frequency is counted over all documents. A term weighs more the further its shares
+of either label's examples lie apart, but none is left out. Examples with equal vectors are one
+entry, with the weight of each label. An inverted index over the entries finds neighbours: what
+stands in many entries is a matrix, the rest are lists; sums in single precision name those that
+can be among the nearest, whose cosines are then computed in full, so the neighbours are exact.
+Votes weigh by a power of the cosine; a logistic curve, fitted to the examples' votes without
+themselves, turns them into probabilities.
 """
 
+import hashlib
+import uuid
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,20 +22,22 @@ from pyspark.sql import functions as F
 
 from ebbline.llm import words as W
 from ebbline.llm.decontaminate import Finder
-from ebbline.llm.sharing import opened, share
+from ebbline.llm.sharing import kept_in_worker, opened, share
 from ebbline.sources.staging import stage
 
-# The bound of the fit, per label, and of its vocabulary.
+# The bound of the fit, per label.
 EXAMPLES = 8192
-TERMS = 256
-LEAST_DOCUMENTS = 5
-LEAST_Z = 6.0
+# Deviations between the labels' shares at which a term has half of its weight, and those that
+# any term is taken to have, so that none weighs nothing.
+HALF_Z, LEAST_Z = 5.0, 0.5
 NEIGHBOURS = 30
 POWER = 4
 PRIOR_WEIGHT = 0.5
-BLOCK = 64
-# Blocks looked into before the bounds decide, and texts searched for together.
-FIRST_BLOCKS = 16
+# Terms held as a matrix over the entries, those of most entries; the other terms are lists.
+COMMON = 256
+# What sums of up to COMMON products in single precision can be off by, and more.
+OFF = 1e-4
+# Texts searched for together.
 TOGETHER = 128
 EVIDENCE = 3
 SEED = 4
@@ -46,91 +53,103 @@ def _doc_words(column: pa.Array):
             yield hashes[a:b]
 
 
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``start .. start + size`` of each pair, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
 class Index:
-    """Exact cosine search over weighted, unit-length rows by bounds per block.
+    """Exact cosine search over unit-length rows of positive weights by their terms.
 
-    The postings of a block are held together: the terms that occur in it and their weights in
-    each of its entries. Many queries are answered at once, block by block.
+    Many queries are answered at once. Their cosines are first summed to within ``OFF``: by a
+    matrix product over the common terms and the lists of the others; those that can be among
+    the nearest are computed again from the rows.
     """
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]):
         self.size = len(rows)
-        self.terms = np.unique(np.concatenate([*[t for t, _ in rows], np.zeros(0, np.int64)]).astype(np.int64))
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.most = np.zeros((len(self.terms), -(-self.size // BLOCK)))
-        for block, first in enumerate(range(0, self.size, BLOCK)):
-            some = rows[first : first + BLOCK]
-            at = np.searchsorted(self.terms, np.concatenate([t for t, _ in some]))
-            held, place = np.unique(at, return_inverse=True)
-            postings = np.zeros((len(held), len(some)))
-            postings[place, np.repeat(np.arange(len(some)), [len(t) for t, _ in some])] = np.concatenate([w for _, w in some])
-            self.parts.append((held, postings))
-            self.most[held, block] = postings.max(axis=1)
+        self.bounds = np.concatenate([[0], np.cumsum([len(t) for t, _ in rows])]).astype(np.int64)
+        terms = np.concatenate([*[t for t, _ in rows], np.zeros(0, np.int64)]).astype(np.int64)
+        self.weights = np.concatenate([*[w for _, w in rows], np.zeros(0)])
+        self.terms, places, often = np.unique(terms, return_inverse=True, return_counts=True)
+        self.places = places.astype(np.int32)
+        self.common = np.sort(np.argsort(-often, kind="stable")[:COMMON])
+        entry = np.repeat(np.arange(self.size, dtype=np.int32), np.diff(self.bounds))
+        column = np.full(len(self.terms), -1, np.int32)
+        column[self.common] = np.arange(len(self.common))
+        held = column[places] >= 0
+        self.matrix = np.zeros((len(self.common), self.size), np.float32)
+        self.matrix[column[places[held]], entry[held]] = self.weights[held]
+        order = np.flatnonzero(~held)
+        order = order[np.argsort(places[order], kind="stable")]
+        self.listed, self.listed_weights = entry[order], self.weights[order].astype(np.float32)
+        self.sizes = np.where(column < 0, often, 0)
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each query's ``k`` entries of greatest positive cosine, ties by place.
 
         Place of the query, of the entry, and the cosine (12 digits), nearest first.
         """
-        if not self.size or not queries:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        own = np.repeat(np.arange(len(queries)), [len(t) for t, _ in queries])
-        terms = np.concatenate([t for t, _ in queries])
-        place = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-        known = self.terms[place] == terms
-        asked = np.zeros((len(queries), len(self.terms)))
-        asked[own[known], place[known]] = np.concatenate([w for _, w in queries])[known]
-        bound = asked @ self.most
-        cosine = np.zeros((len(queries), self.size))
-
-        def look_into(wanted: np.ndarray) -> None:
-            for block in np.flatnonzero(wanted.any(axis=0)):
-                who = np.flatnonzero(wanted[:, block])
-                held, postings = self.parts[block]
-                cosine[who, block * BLOCK : block * BLOCK + postings.shape[1]] = asked[np.ix_(who, held)] @ postings
-
-        # The k-th best of the likeliest blocks; then every block whose bound reaches it.
-        likely = np.argsort(-bound, axis=1, kind="stable")[:, : FIRST_BLOCKS + k // BLOCK]
-        opened = np.zeros(bound.shape, bool)
-        np.put_along_axis(opened, likely, True, axis=1)
-        opened &= bound > 0
-        look_into(opened)
-        entries = (likely[:, :, None] * BLOCK + np.arange(BLOCK)).reshape(len(queries), -1)
-        best = np.where(entries < self.size, np.take_along_axis(cosine, np.minimum(entries, self.size - 1), axis=1), 0.0)
-        least = np.partition(best, -k, axis=1)[:, -k] if best.shape[1] >= k else np.zeros(len(queries))
-        look_into((bound > 0) & (bound >= least[:, None] - 1e-11) & ~opened)
-        query, entry = np.divmod(np.flatnonzero(cosine >= np.maximum(least - 1e-11, 1e-300)[:, None]), self.size)
-        found = np.minimum(np.round(cosine[query, entry], 12), 1.0)
-        order = np.lexsort((entry, -found, query))
-        query, entry, found = query[order], entry[order], found[order]
-        kept = np.arange(len(query)) - np.searchsorted(query, query) < k
-        return query[kept], entry[kept], found[kept]
+        nothing = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if not len(self.terms) or not queries:
+            return nothing
+        known = []
+        for terms, weights in queries:
+            place = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+            held = self.terms[place] == terms
+            known.append((place[held], weights[held]))
+        asked = np.zeros((len(queries), len(self.common)), np.float32)
+        whole = np.zeros(len(self.terms))
+        for i, (place, weights) in enumerate(known):
+            whole[place] = weights
+            asked[i] = whole[self.common]
+            whole[place] = 0.0
+        about = asked @ self.matrix
+        found = [nothing]
+        for i, (place, weights) in enumerate(known):
+            sizes = self.sizes[place]
+            at = _spans(self.starts[place], sizes)
+            own = about[i] + np.bincount(self.listed[at], np.repeat(weights, sizes) * self.listed_weights[at], self.size)
+            least = np.partition(own, -k)[-k] if self.size > k else 0.0
+            near = np.flatnonzero((own >= least - 2 * OFF) & (own > 0))
+            sizes = self.bounds[near + 1] - self.bounds[near]
+            at = _spans(self.bounds[near], sizes)
+            whole[place] = weights
+            exact = np.bincount(np.repeat(np.arange(len(near)), sizes), whole[self.places[at]] * self.weights[at], len(near))
+            whole[place] = 0.0
+            exact = np.minimum(np.round(exact, 12), 1.0)
+            order = np.lexsort((near, -exact))[:k]
+            order = order[exact[order] > 0]
+            found.append((np.full(len(order), i), near[order], exact[order]))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _key(places: np.ndarray, counts: np.ndarray) -> bytes:
+    """Names a vector, in few bytes."""
+    return hashlib.blake2b(places.tobytes() + b"|" + counts.tobytes(), digest_size=16).digest()
 
 
 class Voter:
     """What scoring needs: terms, their weights, the index, votes of its entries, calibration."""
 
     def __init__(self, terms: np.ndarray, idf: np.ndarray, examples, weights: dict[int, float]):
+        """``idf`` is each term's weight; ``examples`` are (doc, label, places, counts), in a fixed order."""
         self.terms, self.idf = terms, idf
         entries: dict[bytes, list] = {}
         blank = [0.0, 0.0]
-        self.own: list[tuple[bytes | None, int]] = []
         for doc, label, places, counts in examples:
             if not len(places):
                 blank[label] += weights[label]
-                self.own.append((None, label))
                 continue
-            key = places.tobytes() + counts.tobytes()
-            entry = entries.setdefault(key, [places, counts, [0.0, 0.0], []])
+            entry = entries.setdefault(_key(places, counts), [places, counts, [0.0, 0.0], []])
             entry[2][label] += weights[label]
             entry[3].append(doc)
-            self.own.append((key, label))
-        # Entries with the same heaviest term stand together, which makes the blocks' bounds tight.
-        vectors = {key: self.vector(e[0], e[1]) for key, e in entries.items()}
-        lead = {key: (int(v[0][v[1].argmax()]), key) for key, v in vectors.items()}
-        keys = sorted(entries, key=lead.get)
+        keys = list(entries)
         self.place = {key: i for i, key in enumerate(keys)}
-        self.index = Index([vectors[key] for key in keys])
+        self.rows = [entries[key][:2] for key in keys]
+        self.index = Index([self.vector(*row) for row in self.rows])
         self.votes = np.array([entries[key][2] for key in keys]).reshape(-1, 2)
         self.evidence = [sorted(entries[key][3])[:EVIDENCE] for key in keys]
         self.weights = weights
@@ -139,6 +158,22 @@ class Voter:
         self.blank = (blank[1] + self.base) / (sum(blank) + 1.0)
         self.slope, self.shift = 1.0, 0.0
 
+    def __getstate__(self) -> dict:
+        """Without the index, which is many times the size of the packed rows and soon made again."""
+        places, counts = (np.concatenate([*x, np.zeros(0, np.int32)]).astype("<i4") for x in zip(*self.rows)) if self.rows else (np.zeros(0, "<i4"),) * 2
+        # Steps between places by significance of their bytes, which pack best.
+        packed = [zlib.compress(x.view(np.uint8).reshape(-1, 4).T.tobytes(), 1) for x in (np.diff(places, prepend=np.int32(0)), counts)]
+        return self.__dict__ | {"index": None, "rows": ([len(p) for p, _ in self.rows], packed)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ = state
+        sizes, packed = self.rows
+        steps, counts = (np.frombuffer(zlib.decompress(x), np.uint8).reshape(4, -1).T.copy().view("<i4").reshape(-1) for x in packed)
+        cuts = np.cumsum(sizes)[:-1].astype(np.int64)
+        parts = (np.split(x, cuts) if sizes else [] for x in (np.cumsum(steps).astype(np.int32), counts))
+        self.rows = list(zip(*parts))
+        self.index = Index([self.vector(*row) for row in self.rows])
+
     def vector(self, places: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         weight = (1.0 + np.log(counts)) * self.idf[places]
         return places, weight / np.sqrt((weight**2).sum())
@@ -195,17 +230,33 @@ def _log_odds(share):
     return np.log(share / (1 - share))
 
 
-def _chosen_terms(examples: DataFrame, sizes: dict[int, int]) -> np.ndarray:
-    """Terms whose share of documents differs between the labels by ``LEAST_Z`` deviations."""
+def _terms(examples: DataFrame, sizes: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Every term of the examples, and how its weight is scaled by what it tells of the label."""
     n = {t: float(max(sizes.get(t, 0), 1)) for t in (0, 1)}
-    held = examples.select("toxic", F.explode("terms").alias("term")).groupBy("term")
-    held = held.agg(F.sum("toxic").alias("yes"), F.sum(1 - F.col("toxic")).alias("no"))
-    held = held.where(F.col("yes") + F.col("no") >= LEAST_DOCUMENTS)
-    share = (F.col("yes") + F.col("no") + 1) / (n[0] + n[1] + 2)
-    z = (F.col("yes") / n[1] - F.col("no") / n[0]) / F.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1]))
-    held = held.select("term", F.abs(z).alias("z")).where(F.col("z") >= LEAST_Z)
-    rows = held.orderBy(F.desc("z"), "term").limit(TERMS).select("term").collect()
-    return np.sort(np.array([r["term"] for r in rows], np.int64).view(np.uint64))
+    def rows(batches):
+        for batch in batches:
+            toxic = batch.column("toxic").to_numpy()
+            found = [np.unique(h) for h in _doc_words(batch.column("text"))]
+            label = np.repeat(toxic, [len(f) for f in found])
+            term = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(term, pa.int64())], ["toxic", "term"])
+
+    held = examples.select("toxic", "text").mapInArrow(rows, "toxic int, term bigint").groupBy("term")
+    # Bounded by the examples' words.
+    held = held.agg(F.sum("toxic").alias("yes"), F.sum(1 - F.col("toxic")).alias("no")).toArrow()
+    term, yes, no = (held[c].to_numpy() for c in ("term", "yes", "no"))
+    share = (yes + no + 1) / (n[0] + n[1] + 2)
+    z = (yes / n[1] - no / n[0]) ** 2 / (share * (1 - share) * (1 / n[0] + 1 / n[1]))
+    scale = (z + LEAST_Z**2) / (z + HALF_Z**2)
+    term = term.astype(np.int64).view(np.uint64)
+    order = np.argsort(term)
+    return term[order], scale[order]
+
+
+def _known(finder: Finder, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which hashes are terms, and their places."""
+    at = finder.find(hashes)
+    return at, np.searchsorted(finder.known, hashes[at]) if len(at) else at
 
 
 def _frequencies(texts: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
@@ -219,35 +270,53 @@ def _frequencies(texts: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
             data, offsets = W.text_buffers(batch.column(0))
             for first, last in W.runs(offsets):
                 hashes, bounds = W.word_hashes(data, offsets[first : last + 1], W.LETTERED)
-                at = finder.find(hashes)
+                at, place = _known(finder, hashes)
                 if len(at):
                     doc = np.searchsorted(bounds, at, "right") - 1
-                    pairs = np.unique(doc * len(finder.known) + np.searchsorted(finder.known, hashes[at]))
-                    total[:-1] += np.bincount(pairs % len(finder.known), minlength=len(finder.known))
+                    pairs = np.unique(doc * len(finder.known) + place)
+                    np.add.at(total, pairs % len(finder.known), 1)
             n += len(batch)
         total[-1] = n
         seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["at", "c"])
+        for part in np.array_split(seen, len(seen) // 100_000 + 1):
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part], pa.int64())], ["at", "c"])
 
-    counted = texts.mapInArrow(rows, "at bigint, c bigint").groupBy("at").agg(F.sum("c").alias("c"))
+    counted = texts.mapInArrow(rows, "at bigint, c bigint").groupBy("at").agg(F.sum("c").alias("c")).toArrow()
     out = np.zeros(len(terms) + 1, np.int64)
-    for row in counted.collect():  # one row per term
-        out[row["at"]] = row["c"]
+    out[counted["at"].to_numpy()] = counted["c"].to_numpy()  # one row per term
     return out[:-1], int(out[-1])
 
 
 def _vectors(column: pa.Array, finder: Finder):
     """Per text: places of its known terms and their counts, both ordered by place."""
     data, offsets = W.text_buffers(column)
-    empty = np.zeros(0, np.int64)
     for first, last in W.runs(offsets):
         hashes, bounds = W.word_hashes(data, offsets[first : last + 1], W.LETTERED)
-        at = finder.find(hashes)
+        at, place = _known(finder, hashes)
+        width = max(len(finder.known), 1)
         doc = np.searchsorted(bounds, at, "right") - 1
-        place = np.searchsorted(finder.known, hashes[at]) if len(at) else empty
-        cuts = np.searchsorted(doc, np.arange(last - first + 1))
+        pairs, counts = np.unique(doc * width + place, return_counts=True)
+        cuts = np.searchsorted(pairs, np.arange(last - first + 1) * width)
+        place, counts = (pairs % width).astype(np.int32), counts.astype(np.int32)
         for a, b in zip(cuts[:-1], cuts[1:]):
-            yield np.unique(place[a:b], return_counts=True) if b > a else (empty, empty)
+            yield place[a:b], counts[a:b]
+
+
+def _lists(column) -> list[np.ndarray]:
+    """The rows of a column of lists of 32-bit numbers."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat, at = column.values.to_numpy(), column.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(at[:-1], at[1:])]
+
+
+def _voter(shared, name: str) -> Voter:
+    """The shared voter ``name``, unpacked once a worker; an earlier one is let go."""
+    held = kept_in_worker("voter", dict)
+    if name not in held:
+        held.clear()
+        held[name] = opened(shared)
+    return held[name]
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Voter:
@@ -259,49 +328,45 @@ def fit(docs: DataFrame, labels: DataFrame) -> Voter:
     # Bounded by twice EXAMPLES rows.
     sample = F.broadcast(stage(chosen[0].union(chosen[1]), "sample"))
 
-    def word_rows(batches):
-        for batch in batches:
-            terms = [np.unique(h).view(np.int64) for h in _doc_words(batch.column("text"))]
-            kept = [batch.column("doc_id"), batch.column("toxic"), batch.column("text"), pa.array(terms, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(kept, ["doc_id", "toxic", "text", "terms"])
-
-    examples = docs.join(sample, "doc_id").select("doc_id", "toxic", "text").dropDuplicates(["doc_id"])
-    examples = stage(examples.mapInArrow(word_rows, "doc_id bigint, toxic int, text string, terms array<bigint>"), "examples")
+    examples = stage(docs.join(sample, "doc_id").select("doc_id", "toxic", "text").dropDuplicates(["doc_id"]), "examples")
     found = {r["toxic"]: r["count"] for r in examples.groupBy("toxic").count().collect()}
-    terms = _chosen_terms(examples, found)
+    terms, scale = _terms(examples, found)
     frequency, n = _frequencies(docs.select("text"), terms)
-    idf = np.log((n + 1) / (frequency + 1)) + 1.0
+    idf = (np.log((n + 1) / (frequency + 1)) + 1.0) * scale
     weights = {t: sizes.get(t, 0) / max(found.get(t, 0), 1) for t in (0, 1)}
 
+    known = docs.sparkSession.sparkContext.broadcast(terms)
+    kind = "doc_id bigint, toxic int, places array<int>, counts array<int>"
+
     def term_rows(batches):
-        finder = Finder(terms)
+        finder = Finder(known.value)
         for batch in batches:
             places, counts = zip(*_vectors(batch.column("text"), finder)) if len(batch) else ((), ())
-            kept = [pa.array(x, pa.list_(pa.int64())) for x in (places, counts)]
+            kept = [pa.array(x, pa.list_(pa.int32())) for x in (places, counts)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *kept], ["doc_id", "toxic", "places", "counts"])
 
-    rows = examples.select("doc_id", "toxic", "text").mapInArrow(term_rows, "doc_id bigint, toxic int, places array<bigint>, counts array<bigint>")
-    rows = sorted((r["doc_id"], r["toxic"], tuple(r["places"]), tuple(r["counts"])) for r in rows.collect())
-    rows = [(d, t, np.array(p, np.int64), np.array(c, np.int64)) for d, t, p, c in rows]
-    voter = Voter(terms, idf, rows, weights)
-    shared = share(docs.sparkSession, voter)
+    held = stage(examples.select("doc_id", "toxic", "text").mapInArrow(term_rows, kind), "vectors")
+    rows = held.toArrow()
+    rows = zip(rows["doc_id"].to_pylist(), rows["toxic"].to_pylist(), _lists(rows["places"]), _lists(rows["counts"]))
+    voter = Voter(terms, idf, sorted(rows, key=lambda r: r[:2]), weights)
+    if not len(voter.place):
+        return voter
+    shared, name = share(docs.sparkSession, voter), uuid.uuid4().hex
 
     def own_votes(batches):
-        voter = opened(shared)
+        voter = _voter(shared, name)
         for batch in batches:
-            vectors = [(np.array(p, np.int64), np.array(c, np.int64)) for p, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            vectors = list(zip(_lists(batch.column(2)), _lists(batch.column(3))))
             held = [i for i, (places, _) in enumerate(vectors) if len(places)]
             labels = batch.column(1).to_pylist()
-            own = [(vectors[i][0].tobytes() + vectors[i][1].tobytes(), labels[i]) for i in held]
             out = np.full(len(batch), voter.blank)
-            out[held] = voter.vote([vectors[i] for i in held], own)[0]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.float64())], ["toxic", "share"])
-
-    listed = [(d, t, p.tolist(), c.tolist()) for d, t, p, c in rows]
-    if listed:
-        held = docs.sparkSession.createDataFrame(listed, "doc_id bigint, toxic int, places array<bigint>, counts array<bigint>")
-        shares = held.repartition(12).mapInArrow(own_votes, "toxic int, share double").toPandas()
-        voter.calibrate(shares["share"].to_numpy(), shares["toxic"].to_numpy())
+            out[held] = voter.vote([vectors[i] for i in held], [(_key(*vectors[i]), labels[i]) for i in held])[0]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["doc_id", "toxic", "share"])
+
+    shares = held.repartition(12).mapInArrow(own_votes, "doc_id bigint, toxic int, share double").toPandas().sort_values("doc_id")
+    shared.destroy()
+    known.destroy()
+    voter.calibrate(shares["share"].to_numpy(), shares["toxic"].to_numpy())
     return voter
 
 
@@ -314,22 +379,22 @@ def score_toxicity(
     """``doc_id``, ``score``, ``predicted``, ``evidence`` (ids of near examples) for every row.
 
     ``labels`` (doc_id, toxic) are the rows to learn from; nothing but a text enters its score.
-    A null or empty text, and one without any of the terms, scores like the examples without
-    terms and has no evidence. Rows that repeat an id are scored each by its own text; an id
+    A null or empty text, and one without a word of any example, scores like the examples without
+    words and has no evidence. Rows that repeat an id are scored each by its own text; an id
     labelled twice counts as toxic if any label says so; without labels every score is a low
     prior. Other columns are not looked at; an empty table gives an empty result.
     """
     plain = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
-    shared = share(docs.sparkSession, fit(plain, labels))
+    shared, name = share(docs.sparkSession, fit(plain, labels)), uuid.uuid4().hex
 
     def rows(batches):
-        voter = opened(shared)
+        voter = _voter(shared, name)
         finder = Finder(voter.terms)
         nothing = (voter.score(voter.blank), [])
         known: dict[bytes, tuple] = {}
         for batch in batches:
             vectors = list(_vectors(batch.column("text"), finder))
-            keys = [places.tobytes() + counts.tobytes() for places, counts in vectors]
+            keys = [_key(places, counts) for places, counts in vectors]
             new = {key: v for key, v in zip(keys, vectors) if len(v[0]) and key not in known}
             if len(known) + len(new) > _REMEMBERED:
                 known = {}

@@ -219,6 +219,20 @@ def test_toxicity_held_out_accuracy_and_odd_rows(spark, odd):
     assert all(r["predicted"] == 0 for r in toxicity.score_toxicity(odd, table.where("false")).collect())
 
 
+def test_toxicity_by_words_of_few_examples(spark):
+    """Each toxic example shares its own odd word with one other; a rank or a count would drop them."""
+    rows, labels = [], []
+    for i in range(1200):
+        bad = i % 4 == 0
+        # Two labelled documents and an unlabelled one hold each odd word.
+        rows.append((i, said(5000 + i, 20) + (f" odd{i // 4 % 100}word" * 3 if bad else ""), "en", "a"))
+        labels.append((i, int(bad)))
+    table = spark.createDataFrame([r for r in labels if r[0] < 800], "doc_id bigint, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(docs(spark, rows), table).collect()}
+    assert all({i - 400, i - 800} <= set(got[i]["evidence"]) for i in range(800, 1200, 4))
+    assert min(got[i]["score"] for i in range(800, 1200, 4)) > np.median([got[i]["score"] for i in range(800, 1200) if i % 4])
+
+
 def test_quality_keeps_clean_and_drops_junk(spark):
     rows = [(i, said(2000 + i, 80), "en", "a") for i in range(300)] + [(1000, "#%& " * 200, "en", "a"), (1001, None, None, None), (1002, " \n", "en", "a"), (1003, "mu1", "en", "a")]
     labels = spark.createDataFrame([(i, 1) for i in range(200)], "doc_id bigint, quality int")
