@@ -242,6 +242,23 @@ def test_quality_keeps_clean_and_drops_junk(spark):
     assert sum(not r["keep"] for r in none) == 2
 
 
+def test_quality_limit_is_a_quantile(spark):
+    """Shuffled letters lie just above the trusted texts' own spread; far fewer of those go."""
+    rng = np.random.default_rng(11)
+    rows = [(i, said(9000 + i, int(rng.integers(60, 120))), "en", "a") for i in range(1500)]
+    for i in range(200):
+        words = said(20_000 + i, 80).split()
+        for j in range(0, 80, 5):
+            words[j] = "".join(rng.permutation(list(words[j])))
+        rows.append((5000 + i, " ".join(words), "en", "a"))
+    labels = spark.createDataFrame([(i, 1) for i in range(1000)], "doc_id bigint, quality int")
+    got = {r["doc_id"]: r for r in quality.judge_quality(docs(spark, rows), labels).collect()}
+    assert sum(not got[i]["keep"] for i in range(1500)) <= 0.02 * 1500
+    assert sum(got[5000 + i]["keep"] for i in range(200)) <= 0.1 * 200
+    assert max(got[i]["threshold"] for i in range(1500)) <= max(got[i]["perplexity"] for i in range(1000))
+    assert all(r["keep"] == (r["perplexity"] <= r["threshold"] * (1 + 1e-12)) for r in got.values())
+
+
 def test_kneser_ney_sums_to_one(spark):
     texts = spark.createDataFrame([(said(i, 30),) for i in range(20)], "text string")
     bits = quality.probabilities(quality.kneser_ney(quality.count_grams(texts)))
