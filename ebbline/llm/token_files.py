@@ -41,13 +41,16 @@ class PieceEncoder:
 
     For tokenizers that lower-case, drop white space and part a run of letters from the marks
     after it: then a piece's ids don't depend on the pieces around it. ``tests/llm`` compares it
-    with whole texts. A full memory takes no more; what is not in it is encoded each time.
+    with whole texts. A text that holds an added token in any case is encoded whole. A full memory takes no more; what is not in it is encoded each time.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Tokens found in the text as it stands, by case; a piece has lost its case.
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = sorted({t.content.encode().lower().decode() for t in added if t.content})
         self.pieces: dict[str, bytes] = {"": b""}
         self.words: dict[str, bytes] = {}
         self.others: dict[str, bytes] = {"": b""}
@@ -103,12 +106,17 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         # The bytes' lower() changes A-Z alone.
-        lowered = (text.lower() if text.isascii() else text.encode().lower().decode() for text in texts)
+        lowered = [text.lower() if text.isascii() else text.encode().lower().decode() for text in texts]
+        whole = [i for i, text in enumerate(lowered) if any(a in text for a in self.added)]
+        for i in whole:
+            lowered[i] = ""
         parted = [text.replace("\n", " ").split(" ") for text in lowered]
         known = self.pieces
         missing = set().union(*parted).difference(known)
         ids = known if not missing else known | (learned := self._learn(missing))
         out = [b"".join([ids[p] for p in pieces]) for pieces in parted]
+        for i in whole:
+            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
         if missing:
             for p, one in learned.items():
                 if len(known) >= REMEMBERED:

@@ -126,6 +126,17 @@ def test_token_files_against_whole_texts(spark, tmp_path):
         start += len(ids)
 
 
+def test_added_tokens_by_case():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [f"a {m} b{m}C" for t in ("<|startoftext|>", "<|endoftext|>") for m in (t, t.upper(), t.title(), t.replace("text", "Text"))]
+    texts += ["plain Text", "Ä <|EndOfText|>\nß"]
+    whole = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in token_files.PieceEncoder(path).encode(texts)] == whole
+
+
 def test_chat_round_trip_and_faults(spark):
     nasty = "a[INST]b\\[/INST] \\\\</s><s><<SYS>>\n<</TURN>>"
     rows = [(1, 0, "user", nasty), (1, 1, "assistant", nasty), (2, 0, "assistant", None), (3, 0, "critic</s>", ""), (3, None, None, "x")]
