@@ -16,10 +16,12 @@ def score_totals(
     by: list[str] | None = None,
     extra: list[Column] | None = None,
     decimals: int | None = None,
+    following: bool = False,
 ) -> DataFrame:
     """Per distinct score: positives, negatives, and their running totals from the top.
 
     ``decimals`` rounds the scores first, for curves of a bounded number of points.
+    ``following`` adds the counts at the next lower score, ``next_pos`` and ``next_neg``.
     """
     by = by or ["model"]
     if decimals is not None:
@@ -29,7 +31,8 @@ def score_totals(
         F.count_if(F.col("label") == 0).alias("neg"),
         *(extra or []),
     )
-    return running_totals(counts, by, "score", ["pos", "neg"], descending=True)
+    steps = ["pos", "neg"]
+    return running_totals(counts, by, "score", steps, descending=True, following=steps if following else None)
 
 
 def area_sum() -> Column:
@@ -46,12 +49,20 @@ def roc_auc(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def roc_points(
-    scored: DataFrame, by: list[str] | None = None, decimals: int | None = None
+    scored: DataFrame, by: list[str] | None = None, decimals: int | None = None, thin: bool = False
 ) -> DataFrame:
-    """A point per distinct score, and the start at (0, 0) with no threshold (V5)."""
+    """A point per distinct score, and the start at (0, 0) with no threshold (V5).
+
+    ``thin`` leaves out the points from which the curve goes on with the same step as it came:
+    they lie on a straight line, so the drawn curve is the same. The first and the last stay.
+    """
     by = by or ["model"]
     # A score whose labels are all null is no point, and must not look like the first one.
-    totals = score_totals(scored.where("label in (0, 1)"), by, decimals=decimals)
+    totals = score_totals(scored.where("label in (0, 1)"), by, decimals=decimals, following=thin)
+    first = (F.col("run_pos") == F.col("pos")) & (F.col("run_neg") == F.col("neg"))
+    if thin:
+        turns = (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
+        totals = totals.where(first | F.col("next_pos").isNull() | turns)
     point = F.struct(
         ratio(F.col("run_neg"), F.col("all_neg")).alias("fpr"),
         ratio(F.col("run_pos"), F.col("all_pos")).alias("tpr"),
@@ -60,7 +71,6 @@ def roc_points(
     start = F.struct(
         F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"), F.lit(None).cast("double").alias("threshold")
     )
-    first = (F.col("run_pos") == F.col("pos")) & (F.col("run_neg") == F.col("neg"))
     points = F.when(first, F.array(start, point)).otherwise(F.array(point))
     return totals.select(*by, F.inline(points))
 

@@ -7,10 +7,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbline import schema
-from ebbline.operators.ordered import approximate_quantiles, exact_quantiles
+from ebbline.operators.ordered import CellIndex, approximate_quantiles, exact_quantiles
 from ebbline.operators.splits import order_hash
 from ebbline.sources.staging import attach, stage
 
+QUARTILES = [0.25, 0.5, 0.75]
+# Kernel widths beyond which a normal density is 0 in double precision.
+REACH = 39.0
+
 
 def plot_sample(
     df: DataFrame, n: int = 1000, seed: int = 42, identifier: str = schema.ID, columns=None
@@ -51,9 +55,7 @@ def histogram(df: DataFrame, column: str, by: list[str], bins: int = 30) -> Data
     )
 
 
-def _fences(df: DataFrame, column: str, by: list[str], approx: bool) -> DataFrame:
-    quantiles = approximate_quantiles if approx else exact_quantiles
-    quartiles = quantiles(df, by, column, [0.25, 0.5, 0.75])
+def _fenced(quartiles: DataFrame, by: list[str]) -> DataFrame:
     reach = 1.5 * (F.col("q2") - F.col("q0"))
     fenced = quartiles.select(
         *by,
@@ -67,15 +69,33 @@ def _fences(df: DataFrame, column: str, by: list[str], approx: bool) -> DataFram
     return stage(fenced, "fences")
 
 
+def _fences(df: DataFrame, column: str, by: list[str], approx: bool) -> DataFrame:
+    quantiles = approximate_quantiles if approx else exact_quantiles
+    return _fenced(quantiles(df, by, column, QUARTILES), by)
+
+
 def box_stats(df: DataFrame, column: str, by: list[str], approx: bool = False) -> DataFrame:
-    """Quartiles, Tukey whiskers (the furthest values inside the fences), outliers."""
-    values = df.dropna(subset=[*by, column]).select(*by, F.col(column).cast("double").alias("_v"))
-    fences = _fences(df, column, by, approx)
-    inside = (F.col("_v") >= F.col("fence_low")) & (F.col("_v") <= F.col("fence_high"))
-    reach = attach(values, fences.select(*by, "fence_low", "fence_high"), by).groupBy(*by).agg(
-        F.min(F.when(inside, F.col("_v"))).alias("_low"),
-        F.max(F.when(inside, F.col("_v"))).alias("_high"),
-        F.count_if(~inside).alias("n_outliers"),
+    """Quartiles, Tukey whiskers (the furthest values inside the fences), outliers.
+
+    The cells made for the quartiles answer for the fences too: a cell on one side of a fence
+    counts as a whole, by its minimum, maximum and count. Only cells that a fence runs through
+    are read again, at most two of a group.
+    """
+    index = CellIndex(df, by, column)
+    fences = _fenced(approximate_quantiles(df, by, column, QUARTILES), by) if approx else _fenced(index.quantiles(QUARTILES), by)
+    low, high = F.col("fence_low"), F.col("fence_high")
+    cells = attach(index.cells, fences.select(*by, "fence_low", "fence_high"), by)
+    cells = cells.withColumn("cut", (F.col("lo") < low) & (F.col("hi") >= low) | (F.col("lo") <= high) & (F.col("hi") > high))
+    # One value is never cut, so what is read are ranges that hold a fence.
+    inside = index.values(cells.where("cut").drop("fence_low", "fence_high", "cut"))
+    inside = attach(inside, fences.select(*by, "fence_low", "fence_high"), by)
+    ends = inside.select(*by, "fence_low", "fence_high", F.col("_key").alias("lo"), F.col("_key").alias("hi"), F.col("c").alias("_n"))
+    parts = cells.where("not cut").select(ends.columns).unionByName(ends)
+    within = (F.col("lo") >= low) & (F.col("hi") <= high)
+    reach = parts.groupBy(*by).agg(
+        F.min(F.when(within, F.col("lo"))).alias("_low"),
+        F.max(F.when(within, F.col("hi"))).alias("_high"),
+        F.coalesce(F.sum(F.when(~within, F.col("_n"))), F.lit(0)).alias("n_outliers"),
     )
     return fences.join(reach, by).select(
         *by,
@@ -104,22 +124,28 @@ def density(
 ) -> DataFrame:
     """Gaussian kernel density per group on ``grid`` points, Scott's-rule width.
 
-    Exact: every distinct value, weighted by its count, contributes to every point; the sums
-    combine on the map side. The grid reaches ``cut`` widths beyond the range. A group with
-    no spread or a single row has no width, hence no density.
+    Exact: every distinct value, weighted by its count, contributes to every point at which its
+    kernel isn't 0 in double precision. A value is expanded to the points in its reach only, and
+    a point's sum is combined on the map side; points that no value reaches are listed with 0.
+    The grid reaches ``cut`` widths beyond the range. A group with no spread or a single row has
+    no width, hence no density.
     """
     values = (
         df.dropna(subset=[*by, column])
         .groupBy(*by, F.col(column).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    rows = df.dropna(subset=[*by, column]).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.stddev_samp(F.col(column).cast("double")).alias("sd"),
-        F.min(F.col(column).cast("double")).alias("lo"),
-        F.max(F.col(column).cast("double")).alias("hi"),
+    # The counted values serve twice: for the widths, and for the points.
+    values = stage(values, "values")
+    n, mean = F.sum("_c"), F.sum(F.col("_c") * F.col("_v")) / F.sum("_c")
+    centred = attach(values, stage(values.groupBy(*by).agg(mean.alias("mean")), "means"), by)
+    spread = F.sum(F.col("_c") * F.pow(F.col("_v") - F.col("mean"), 2))
+    rows = centred.groupBy(*by).agg(
+        n.alias("n"), spread.alias("spread"), F.min("_v").alias("lo"), F.max("_v").alias("hi")
     )
-    widths = rows.withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
+    # A single row has no spread: null.
+    sd = F.sqrt(F.try_divide("spread", F.col("n") - 1))
+    widths = rows.withColumn("h", sd * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
     widths = widths.where("h > 0").select(
         *by,
         "n",
@@ -128,14 +154,19 @@ def density(
         ((F.col("hi") - F.col("lo") + 2 * cut * F.col("h")) / (grid - 1)).alias("step"),
     )
     widths = stage(widths, "widths")
-    points = attach(values, widths, by).withColumn(
-        "point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))
-    )
-    points = points.withColumn("x", F.col("x0") + F.col("point") * F.col("step"))
-    z = (F.col("x") - F.col("_v")) / F.col("h")
+    near = F.floor((F.col("_v") - REACH * F.col("h") - F.col("x0")) / F.col("step"))
+    far = F.ceil((F.col("_v") + REACH * F.col("h") - F.col("x0")) / F.col("step"))
+    reached = F.sequence(F.greatest(near, F.lit(0)).cast("int"), F.least(far, F.lit(grid - 1)).cast("int"))
+    points = attach(values, widths, by).withColumn("point", F.explode(reached))
+    x = F.col("x0") + F.col("point") * F.col("step")
+    z = (x - F.col("_v")) / F.col("h")
     norm = F.col("n") * F.col("h") * math.sqrt(2 * math.pi)
     share = F.col("_c") * F.exp(-0.5 * z * z) / norm
-    return points.groupBy(*by, "point", "x").agg(F.sum(share).alias("density"))
+    summed = points.groupBy(*by, "point").agg(F.sum(share).alias("density"))
+    whole = widths.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
+    return whole.join(summed, [*by, "point"], "left").select(
+        *by, "point", x.alias("x"), F.coalesce("density", F.lit(0.0)).alias("density")
+    )
 
 
 def corr_matrix(df: DataFrame, columns: list[str]) -> DataFrame:

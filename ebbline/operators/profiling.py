@@ -1,12 +1,14 @@
 """First look at a table: shape, description, missing values, label shares."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ebbline import schema
 from ebbline.operators.ordered import approximate_quantiles, exact_quantiles
 
+QUARTILES = [0.25, 0.5, 0.75]
+
 
 def is_text(df: DataFrame, column: str) -> bool:
     return column in df.columns and isinstance(df.schema[column].dataType, T.StringType)
@@ -52,11 +54,9 @@ def _long(df: DataFrame, columns: list[str], as_type: str, name: str, value: str
 
 def describe_numbers(df: DataFrame, columns: list[str], approx: bool = False) -> DataFrame:
     values = _long(df, columns, "double", "column_name", "value").where(~F.isnan("value"))
-    moments = values.groupBy("column_name").agg(
-        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")
-    )
+    moments = values.groupBy("column_name").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
     quantiles = approximate_quantiles if approx else exact_quantiles
-    quartiles = quantiles(values, ["column_name"], "value", [0.25, 0.5, 0.75])
+    quartiles = quantiles(values, ["column_name"], "value", QUARTILES)
     # One row per column of the table on either side.
     return quartiles.join(F.broadcast(moments), "column_name").select(
         "column_name",
@@ -116,7 +116,8 @@ def missing_report(df: DataFrame, columns: list[str] | None = None) -> DataFrame
 def label_distribution(df: DataFrame, label: str = schema.LABEL) -> DataFrame:
     """Count and share of each label (C4)."""
     counts = df.dropna(subset=[label]).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(label)).scalar()
+    # The total is summed over the counted labels, not over the table.
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
     return counts.select(F.col(label).alias("label"), "n", (F.col("n") / total).alias("share"))
 
 

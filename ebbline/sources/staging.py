@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 # Largest side handed out as a broadcast, in rows of a staged (hence counted) table.
 MAX_BROADCAST_ROWS = 100_000
-SALTS = 64
 
 
 _LOCAL_FOLDERS: dict[str, str] = {}
@@ -43,16 +42,23 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def attach(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def attach(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "inner", size: str | None = None) -> DataFrame:
     """Join per-key rows of a *staged* table to ``df`` without moving a hot key.
 
-    Few keys: the counted side is broadcast and ``df`` is not shuffled. Many keys: both
-    sides are shuffled on the keys plus a salt, so one hot key spreads over many tasks.
+    Few keys: the counted side is broadcast and ``df`` is not shuffled. Many keys: those that
+    hold a large share of ``df`` are broadcast all the same, as there can be but few of them, and
+    the rest is shuffled on the keys. ``size`` names the column of ``stats`` with the rows of each
+    key in ``df`` (at least), which is dropped; without it they are counted.
     """
-    if stats.count() <= MAX_BROADCAST_ROWS:
-        return df.join(F.broadcast(stats), keys, how)
-    # By place, which differs between equal rows too.
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)))
-    copies = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    copies = copies.withColumn("_salt", F.col("_salt").cast("bigint"))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    n = stats.count()
+    if n <= MAX_BROADCAST_ROWS:
+        return df.join(F.broadcast(stats.drop(size) if size else stats), keys, how)
+    if not size:
+        size = "_size"
+        counts = stage(df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias(size)), "sizes")
+        stats = stage(stats.join(counts, keys), "sized")
+    least = stats.agg(F.sum(size)).first()[0] // MAX_BROADCAST_ROWS
+    hot = stats.where(F.col(size) > least).drop(size)
+    rest = df.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    rest = rest.join(stats.where(F.col(size) <= least).drop(size), keys, how)
+    return df.join(F.broadcast(hot), keys).unionByName(rest)

@@ -1,6 +1,7 @@
 """Running totals, quantiles, splits and joins agree with the naive global form."""
 
 import statistics
+from functools import partialmethod
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -8,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ebbline.operators import distributions, splits
+from ebbline.operators import distributions, ordered, splits
 from ebbline.operators.curves import cumulative_gain
 from ebbline.operators.ordered import (
     approximate_quantiles,
@@ -53,18 +54,63 @@ def test_gain_over_a_hot_score(spark):
 def test_cells_equal_one_window(spark, descending):
     rows = hot_rows(spark).groupBy("model", "score").agg(F.count(F.lit(1)).alias("c"))
     options = {"by": ["model"], "order": "score", "measures": ["c"], "descending": descending}
-    cells = running_totals(rows, one_task_rows=0, **options)
-    window = running_totals(rows, one_task_rows=10**9, **options)
+    cells = running_totals(rows, cell_rows=7, **options)
+    window = running_totals(rows, cell_rows=10**9, **options)
     unstaged = running_totals(rows, staged=False, **options)
     assert cells.count() == window.count() == rows.count()
     assert cells.exceptAll(window).count() == 0 and unstaged.exceptAll(window).count() == 0
 
 
+def test_cells_are_cut_again(spark, monkeypatch):
+    """With four parts a cut, 30,000 rows take several levels; a hot value is cut by its hash."""
+    monkeypatch.setattr(ordered, "FAN", 4)
+    monkeypatch.setattr(ordered, "MOST_CELLS", 512)
+    rows = hot_rows(spark)
+    placed, totals = ordered._in_cells(
+        rows.withColumns({"_key": F.col("score"), "_h": ordered.tie_hash(F.col("id"))}), ["model"], "_h", {}, 100
+    )
+    assert totals.agg(F.max("_n")).first()[0] < 400 and totals.agg(F.sum("_n")).first()[0] == 30_000
+    low, high = Window.partitionBy("model").orderBy("_cell"), ["model", "_cell"]
+    spans = placed.groupBy(*high).agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    assert spans.withColumn("before", F.lag("hi").over(low)).where("before > lo").count() == 0
+    probs = [0.0, 0.1, 0.5, 0.503, 1.0]
+    deep = exact_quantiles(rows, ["model"], "score", probs, cell_rows=20)
+    assert deep.exceptAll(exact_quantiles(rows, ["model"], "score", probs, cell_rows=10**9)).count() == 0
+
+
+def test_ranks_share_ties_across_cells(spark):
+    rows = hot_rows(spark, 3000).withColumn("score", F.when(F.col("id") % 50 != 7, F.col("score")))
+    naive = rows.withColumn("rank", F.rank().over(Window.partitionBy("model").orderBy(F.desc("score"))).cast("bigint"))
+    naive = naive.withColumn("rank", F.when(F.col("score").isNotNull(), F.col("rank")))
+    for size in (7, 10**9):
+        ours = ordered.ranks(rows, ["model"], "score", descending=True, cell_rows=size)
+        assert ours.count() == 3000 and ours.select(naive.columns).exceptAll(naive).count() == 0
+
+
+def test_next_row_across_cells(spark):
+    rows = hot_rows(spark, 2000).groupBy("model", "score").agg(F.count(F.lit(1)).alias("c"))
+    ours = running_totals(rows, ["model"], "score", ["c"], following=["c"], cell_rows=7)
+    naive = rows.withColumn("next_c", F.lead("c").over(Window.partitionBy("model").orderBy("score")))
+    assert ours.count() == rows.count() and ours.select(naive.columns).exceptAll(naive).count() == 0
+
+
+def test_box_stats_read_only_cut_cells(spark, monkeypatch):
+    rows = hot_rows(spark, 6000).withColumn("score", F.col("score") + F.when(F.col("id") % 97 == 0, 5000).otherwise(0))
+    one = distributions.box_stats(rows, "score", ["model"])
+    read = []
+    values = ordered.CellIndex.values
+    monkeypatch.setattr(ordered.CellIndex, "__init__", partialmethod(ordered.CellIndex.__init__, cell_rows=40))
+    monkeypatch.setattr(ordered.CellIndex, "values", lambda self, wanted, *a: read.append(wanted.count()) or values(self, wanted, *a))
+    cells = distributions.box_stats(rows, "score", ["model"])
+    assert cells.exceptAll(one).count() == 0 and cells.count() == 2
+    assert read[-1] <= 4
+
+
 def test_running_maximum(spark):
     rows = hot_rows(spark).selectExpr("model AS study", "int(id) AS trial", "score")
     options = {"by": ["study"], "order": "trial", "measures": ["score"], "how": "max"}
-    cells = running_totals(rows, one_task_rows=0, **options)
-    window = running_totals(rows, one_task_rows=10**9, **options)
+    cells = running_totals(rows, cell_rows=7, **options)
+    window = running_totals(rows, cell_rows=10**9, **options)
     assert cells.exceptAll(window).count() == 0
 
 
@@ -95,9 +141,9 @@ def test_quantiles_by_cells_equal_one_cell(spark):
     rows = hot_rows(spark, 5000)
     probs = [0.0, 0.01, 0.33, 0.5, 0.77, 1.0]
     one = exact_quantiles(rows, ["model"], "score", probs)
-    cells = exact_quantiles(rows, ["model"], "score", probs, one_task_rows=0)
+    cells = exact_quantiles(rows, ["model"], "score", probs, cell_rows=7)
     assert cells.count() == 2 and cells.exceptAll(one).count() == 0
-    flat = exact_quantiles(rows, [], "score", probs, one_task_rows=0).first()
+    flat = exact_quantiles(rows, [], "score", probs, cell_rows=7).first()
     builtin = rows.agg(F.percentile("score", probs).alias("q")).first()["q"]
     assert [flat[f"q{i}"] for i in range(len(probs))] == pytest.approx(builtin, abs=1e-12)
 
@@ -165,7 +211,7 @@ def test_attach_beyond_the_broadcast_bound(spark, monkeypatch):
     stats = staging.stage(rows.groupBy("k").agg(F.max("v").alias("top")).where("k < 500"))
     for how in ("inner", "left"):
         small = staging.attach(rows, stats, ["k"], how).select("k", "v", "top")
-        monkeypatch.setattr(staging, "MAX_BROADCAST_ROWS", 0)
+        monkeypatch.setattr(staging, "MAX_BROADCAST_ROWS", 3)
         salted = staging.attach(rows, stats, ["k"], how).select("k", "v", "top")
         monkeypatch.undo()
         assert salted.count() == small.count() and salted.exceptAll(small).count() == 0
@@ -216,7 +262,7 @@ def test_points_skip_scores_without_labels(spark):
 def test_attach_spreads_equal_rows(spark, monkeypatch):
     from ebbline.sources import staging
 
-    monkeypatch.setattr(staging, "MAX_BROADCAST_ROWS", 0)
+    monkeypatch.setattr(staging, "MAX_BROADCAST_ROWS", 3)
     rows = spark.createDataFrame([("a", 1)] * 5000, "k string, v int")
     joined = staging.attach(rows, staging.stage(spark.createDataFrame([("a", 2)], "k string, w int")), ["k"])
     assert joined.count() == 5000 and joined.agg({"w": "max"}).first()[0] == 2
