@@ -81,23 +81,24 @@ def _first_cells(rows: DataFrame, cell_rows: int) -> tuple[DataFrame, int]:
 
 
 def _too_large(totals: DataFrame, size: int, tie: str | None) -> DataFrame:
-    """Cells of which a group has many more rows than meant, and that can be cut: ``_cell``, ``_rows``.
+    """Cells of which a group has many more rows than meant, and that can be cut: ``_cell``,
+    ``_range`` (whether it is one) and ``_parts`` to cut it into. ``totals`` is staged.
 
-    ``totals`` is staged; what is selected of it is few rows.
+    Written down: the planner would carry a condition on a table's cells over to the rows that it
+    is joined to, and search for the cell of every row again for it.
     """
-    kinds = [RANGE, ONE_VALUE] if tie else [RANGE]
-    large = totals.where((F.col("_n") > 2 * size) & (F.col("_cell") % 3).isin(kinds))
-    return large.groupBy("_cell").agg(F.max("_n").alias("_rows"))
+    is_range = F.col("_cell") % 3 == RANGE
+    can = is_range | (F.col("_cell") % 3 == ONE_VALUE) if tie else is_range
+    large = totals.where((F.col("_n") > 2 * size) & can).groupBy("_cell").agg(F.max("_n").alias("_rows"))
+    parts = F.least(F.ceil(F.col("_rows") / size), F.when(is_range, FAN).otherwise(MOST_CELLS))
+    return stage(large.select("_cell", is_range.alias("_range"), parts.cast("int").alias("_parts")), "large")
 
 
 def _cut_again(rows: DataFrame, large: DataFrame, size: int, tie: str | None) -> DataFrame:
     """Rows of the counted cells ``large`` in smaller ones: ranges by their own quantiles, one
     value by the leading part of its rows' ``tie``."""
-    kind = (F.col("_cell") % 3).cast("int")
-    parts = F.least(F.ceil(F.col("_rows") / size), F.when(kind == RANGE, FAN).otherwise(MOST_CELLS))
-    large = large.withColumn("_parts", parts.cast("int"))
-    ranges = rows.join(F.broadcast(large.where(kind == RANGE)), "_cell")
-    most = large.agg(F.max(F.when(kind == RANGE, F.col("_parts")))).first()[0] or 2
+    ranges = rows.join(F.broadcast(large.where("_range")), "_cell")
+    most = large.where("_range").agg(F.max("_parts")).first()[0] or 2
     sketch = F.kll_sketch_agg_double("_key", F.lit(min(max(SKETCH_SIZE, 4 * most), 65535)))
     cuts = ranges.groupBy("_cell", "_parts").agg(sketch.alias("_s"))
     # The function wants fixed ranks: those of the most parts, of which each cell takes its share.
@@ -107,6 +108,7 @@ def _cut_again(rows: DataFrame, large: DataFrame, size: int, tie: str | None) ->
     cuts = stage(cuts.select("_cell", edges.alias("_edges")), "edges")
     # Together at most MOST_CELLS parts, like the cells.
     cuts = large.select("_cell", "_parts").join(cuts, "_cell", "left")
+    kind = (F.col("_cell") % 3).cast("int")
     placed = _passed_edges(rows.join(F.broadcast(cuts), "_cell", "left"), most)
     within = F.when(F.col("_edges").isNotNull(), 3 * F.col("_at") + F.when(_on_edge(), ONE_VALUE).otherwise(RANGE))
     if tie:
@@ -126,6 +128,8 @@ def _in_cells(
             F.count(F.lit(1)).alias("_n"), *[x.alias(name) for name, x in totals.items()]
         )
         summed = stage(summed, "cells")
+        if not (summed.agg(F.max("_n")).first()[0] or 0) > 2 * size:
+            return rows, summed
         large = _too_large(summed, size, tie)
         if large.isEmpty():
             return rows, summed
@@ -217,13 +221,13 @@ def ranks(
     key = F.col(order).cast("double")
     placed, totals = _in_cells(placed.withColumn("_key", -key if descending else key), by, None, {}, cell_rows)
     before = Window.partitionBy(*by, F.lit(0)).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), "_n")
-    offsets = stage(offsets, "offsets")
-    single = F.col("_cell") % 3 == ONE_VALUE
-    # The joins choose the rows: a filter on a row's cell would search for it once more per step.
-    split = attach(placed, offsets.where(~single), [*by, "_cell"], size="_n")
+    single = (F.col("_cell") % 3 == ONE_VALUE).alias("_single")
+    skipped = F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+    # The joins choose the rows, by a column: see ``_too_large``.
+    offsets = stage(totals.select(*by, "_cell", skipped, "_n", single), "offsets")
+    split = attach(placed, offsets.where("not _single").drop("_single"), [*by, "_cell"], size="_n")
     split = split.withColumn("_in", F.rank().over(Window.partitionBy(*by, "_cell").orderBy("_key")))
-    alike = attach(placed, offsets.where(single), [*by, "_cell"], size="_n")
+    alike = attach(placed, offsets.where("_single").drop("_single"), [*by, "_cell"], size="_n")
     out = [*df.columns, (F.col("_before") + F.col("_in")).cast("bigint").alias(name)]
     found = split.select(out).unionByName(alike.withColumn("_in", F.lit(1)).select(out))
     missing = F.lit(False)
