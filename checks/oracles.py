@@ -871,7 +871,13 @@ GAIN = f"""SELECT model, id, i AS position, {r("coalesce((i - 1) / nullif(CAST(n
           count(*) OVER (PARTITION BY model) AS n, sum(label) OVER (PARTITION BY model) AS p
         FROM scored WINDOW w AS (PARTITION BY model ORDER BY {{order}} DESC, md5(concat(id, ':42')), id
           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+THIN = CURVE + """, corners AS (
+  SELECT * FROM (SELECT *, lag(pos) OVER c AS before, lead(pos) OVER c AS next_pos, lead(neg) OVER c AS next_neg
+                 FROM points WINDOW c AS (PARTITION BY model ORDER BY score DESC))
+  WHERE before IS NULL OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg)"""
 acc("roc_points", ROC, SCORES + CURVE)
+acc("roc_points_thin", ROC.replace("FROM points", "FROM corners"), SCORES + THIN)
+raw("roc_points_thin_lineitem", LINES + THIN + ROC.replace("FROM points", "FROM corners"))
 acc("pr_points", PR, SCORES + CURVE)
 acc("average_precision", AP, SCORES + CURVE)
 acc("roc_auc", f"SELECT model, {r('roc_auc', 'roc_auc')} FROM auc", SCORES + auc_cte("model"))
@@ -978,3 +984,51 @@ raw(
     f"""{TRIALS} SELECT study, trial, {r("score", "score")}, {r("max(score) OVER (PARTITION BY study ORDER BY trial)", "best_score")}
     FROM trials""",
 )
+acc(
+    "importance_shares",
+    f"""SELECT feature, model, {r("share", "share")}, {r("mean_share", "mean_share")} FROM (
+      SELECT *, dense_rank() OVER (ORDER BY mean_share DESC, feature) AS place FROM (
+        SELECT *, avg(share) OVER (PARTITION BY feature) AS mean_share FROM (
+          SELECT feature, model, importance / sum(importance) OVER (PARTITION BY model) AS share FROM imp)))
+    WHERE place <= 10""",
+    IMPORTANCES,
+)
+
+# Fitted models: what must hold of them whatever their scores are
+
+
+def each_of(*names: str) -> str:
+    return "(VALUES " + ", ".join(f"('{n}')" for n in names) + ") m(model)"
+
+
+POSITIVE = "count(*) FILTER (WHERE \"Churn\" = 'Yes') AS n_positive"
+MODELS = ("logistic", "forest", "gbt_a", "gbt_b")
+acc(
+    "model_report",
+    f"""SELECT model, count(*) AS n_rows, {POSITIVE}, count(*) AS n_in_range, count(*) AS n_decided, true AS learnt
+    FROM parted, {each_of(*MODELS, "ensemble")} WHERE split = 'test' GROUP BY model""",
+    SPLIT,
+)
+acc("saved_model_same", f"SELECT model, count(*) AS n_rows, count(*) AS n_same FROM accounts, {each_of('logistic', 'gbt_a')} GROUP BY model")
+acc(
+    "importance_totals",
+    f"""SELECT model, CAST({len(schema.NOTEBOOK_FEATURES)} AS BIGINT) AS n_features, CAST(1 AS DOUBLE) AS total, count(*) > 0 AS sound
+    FROM accounts, {each_of("forest", "gbt_a", "gbt_b")} GROUP BY model""",
+)
+acc(
+    "model_folds",
+    f"""SELECT model, fold, count(*) AS n_rows, {POSITIVE}, count(*) AS n_in_range, true AS scored
+    FROM folded, {each_of(*MODELS)} GROUP BY model, fold""",
+    fold_cte("accounts", 5),
+)
+# Points and folds of the published searches.
+for name, points, k in (("random_search_small", 5, 3), ("grid_search", 8, 3)):
+    counts = {"n_trials": points, "n_fold_scores": points * k, "n_sound": points, "n_best": 1, "n_points": points}
+    acc(name, "SELECT 'search' AS study, " + ", ".join(f"CAST({v} AS BIGINT) AS {c}" for c, v in counts.items()) + " FROM accounts LIMIT 1")
+acc(
+    "score_stream_model",
+    " UNION ALL ".join(
+        f"SELECT '{side}' AS side, count(*) AS n_batch, count(*) AS n_stream, count(*) AS n_same FROM accounts WHERE {where}"
+        for side, where in (("sound", "true"), ("damaged", f'CAST("{ID}" AS BIGINT) % 20 = 0'))
+    ),
+)

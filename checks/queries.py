@@ -27,7 +27,8 @@ from ebbline.operators import (
     segments,
     splits,
 )
-from ebbline.plans import models, preparation, tuning
+from ebbline.plans import folds, models, preparation, tuning
+from ebbline.plans.ledger import run_all
 from ebbline.plans.scorecards import scorecard_scores
 from ebbline.sources import accounts as account_source
 from ebbline.sources import prepared
@@ -174,14 +175,6 @@ def search_results_csv(spark, folder):
     return spark.read.schema(fields).option("header", True).csv(path)
 
 
-@query
-def saved_model_scores(spark, folder):
-    path = new_path(spark, "models")
-    prepared.save_pipeline(models.fit_logistic(accounts(spark, folder), 50), path, "logistic")
-    loaded = prepared.load_pipeline(path, "logistic", ("logistic", "gbt_a", "gbt_b"))
-    return models.score(accounts(spark, folder), loaded, "logistic")
-
-
 # Profiling and cleaning
 
 on_accounts("table_profile", profiling.table_profile)
@@ -412,6 +405,7 @@ on_scores("classification_report", metrics.classification_report)
 on_scores("confusion_matrix", metrics.confusion_matrix)
 on_scores("confusion_pct", metrics.confusion_pct)
 on_scores("roc_points", curves.roc_points)
+on_scores("roc_points_thin", lambda s: curves.roc_points(s, thin=True))
 on_scores("roc_auc", curves.roc_auc)
 on_scores("pr_points", curves.pr_points)
 on_scores("average_precision", curves.average_precision)
@@ -478,6 +472,11 @@ def roc_points_lineitem(spark, folder):
     return curves.roc_points(line_scores(spark, folder))
 
 
+@query
+def roc_points_thin_lineitem(spark, folder):
+    return curves.roc_points(line_scores(spark, folder), thin=True)
+
+
 @query
 def pr_points_lineitem(spark, folder):
     return curves.pr_points(line_scores(spark, folder))
@@ -508,7 +507,12 @@ def combined_importance(spark, folder):
     return importance.combined_importance(importances(spark, folder), 10)
 
 
-# Models and searches, with small budgets
+@query
+def importance_shares(spark, folder):
+    return importance.importance_shares(importances(spark, folder), 10)
+
+
+# Models at their published parameters, fitted once per session and folder
 
 
 def _train_test(spark, folder):
@@ -516,70 +520,130 @@ def _train_test(spark, folder):
     return split.where("split = 'train'"), split.where("split = 'test'")
 
 
+FITS = {
+    "logistic": models.fit_logistic,
+    "forest": models.fit_forest,
+    "gbt_a": lambda rows: models.fit_gbt(rows, "a"),
+    "gbt_b": lambda rows: models.fit_gbt(rows, "b"),
+}
+FITTED = {}
+
+
+def fitted_models(spark, folder, *names):
+    """The fitted pipelines, saved by the first query that asks for one and loaded by all."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in FITTED:
+        train, path = stage(_train_test(spark, folder)[0], "train"), new_path(spark, "models")
+        run_all(spark, lambda name: prepared.save_pipeline(FITS[name](train), path, name), [(n,) for n in FITS], 4)
+        FITTED[key] = path
+    return {name: prepared.load_pipeline(FITTED[key], name, tuple(FITS)) for name in names or FITS}
+
+
+def _test_scores(spark, folder, name):
+    return models.score(_train_test(spark, folder)[1], fitted_models(spark, folder, name)[name], name)
+
+
 @query
 def logistic_scores(spark, folder):
-    train, test = _train_test(spark, folder)
-    return models.score(test, models.fit_logistic(train, max_iter=100), "logistic")
+    return _test_scores(spark, folder, "logistic")
 
 
 @query
 def forest_scores(spark, folder):
-    train, test = _train_test(spark, folder)
-    return models.score(test, models.fit_forest(train, trees=20, depth=6), "forest")
+    return _test_scores(spark, folder, "forest")
 
 
 @query
 def gbt_a_scores(spark, folder):
-    train, test = _train_test(spark, folder)
-    return models.score(test, models.fit_gbt(train, "a", maxIter=8, maxDepth=4), "gbt_a")
+    return _test_scores(spark, folder, "gbt_a")
 
 
 @query
 def gbt_b_scores(spark, folder):
-    train, test = _train_test(spark, folder)
-    return models.score(test, models.fit_gbt(train, "b", maxIter=8, maxDepth=4), "gbt_b")
+    return _test_scores(spark, folder, "gbt_b")
 
 
-def _two_models(train):
-    return {
-        "logistic": models.fit_logistic(train, max_iter=50),
-        "gbt_a": models.fit_gbt(train, "a", maxIter=5, maxDepth=3),
-    }
+@query
+def saved_model_scores(spark, folder):
+    loaded = fitted_models(spark, folder, "logistic")["logistic"]
+    return models.score(accounts(spark, folder), loaded, "logistic")
+
+
+@query
+def saved_model_same(spark, folder):
+    """A model and the same after saving it again and loading it: rows, and rows of equal score."""
+    loaded, path = fitted_models(spark, folder, "logistic", "gbt_a"), new_path(spark, "models")
+    out = None
+    for name, model in loaded.items():
+        prepared.save_pipeline(model, path, name)
+        again = models.score(accounts(spark, folder), prepared.load_pipeline(path, name), name)
+        first = models.score(accounts(spark, folder), model, name).select("id", F.col("score").alias("first"))
+        both = again.join(first, "id").groupBy("model").agg(
+            F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("score") == F.col("first")).alias("n_same")
+        )
+        out = both if out is None else out.unionByName(both)
+    return out
 
 
 @query
 def score_all_models(spark, folder):
-    train, test = _train_test(spark, folder)
-    return models.score_all(_two_models(train), test)
+    return models.score_all(fitted_models(spark, folder), _train_test(spark, folder)[1])
+
+
+def _voted(spark, folder, rows):
+    scored = models.score_all(fitted_models(spark, folder), rows)
+    return scored.unionByName(models.soft_vote(scored))
 
 
 @query
 def ensemble_metrics(spark, folder):
+    return metrics.metrics(_voted(spark, folder, _train_test(spark, folder)[1]))
+
+
+@query
+def model_report(spark, folder):
+    """What must hold of every fitted model and of their vote, whatever the scores are."""
     train, test = _train_test(spark, folder)
-    scored = models.score_all(_two_models(train), test)
-    return metrics.metrics(scored.unionByName(models.soft_vote(scored)))
+    scored = _voted(spark, folder, test)
+    # On the rows that they were fitted on, models find the signal at any size.
+    learnt = curves.roc_auc(_voted(spark, folder, train)).select("model", (F.col("roc_auc") > 0.6).alias("learnt"))
+    return scored.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum("label").alias("n_positive"),
+        F.count_if(F.col("score").between(0, 1)).alias("n_in_range"),
+        F.count_if(F.col("prediction") == (F.col("score") > 0.5).cast("int")).alias("n_decided"),
+    ).join(learnt, "model")
 
 
 @query
 def fit_and_evaluate(spark, folder):
     train, test = _train_test(spark, folder)
-    fits = {
-        "logistic": lambda t: models.fit_logistic(t, max_iter=50),
-        "forest": lambda t: models.fit_forest(t, trees=10, depth=5),
-    }
-    return models.fit_and_evaluate(fits, train, test)
+    known = fitted_models(spark, folder)
+    return models.fit_and_evaluate({name: lambda rows, m=m: m for name, m in known.items()}, train, test)
 
 
 @query
 def feature_importance(spark, folder):
-    fitted = models.fit_forest(accounts(spark, folder), trees=10, depth=5)
-    return importance.feature_importance(spark, fitted, schema.NOTEBOOK_FEATURES, 15, "forest")
+    forest = fitted_models(spark, folder, "forest")["forest"]
+    return importance.feature_importance(spark, forest, schema.NOTEBOOK_FEATURES, 15, "forest")
+
+
+@query
+def importance_totals(spark, folder):
+    """Importances of a tree model are shares: none is negative, and they sum to 1."""
+    out = None
+    for name, model in fitted_models(spark, folder, "forest", "gbt_a", "gbt_b").items():
+        rows = importance.feature_importance(spark, model, schema.NOTEBOOK_FEATURES, len(schema.NOTEBOOK_FEATURES), name)
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n_features"), F.sum("importance").alias("total"), F.min(F.col("importance") >= 0).alias("sound")
+    )
 
 
 @query
 def prepare_profiles(spark, folder):
     rows = accounts(spark, folder)
-    fitted = models.fit_logistic(rows, max_iter=20, chain="library")
+    fitted = models.fit_logistic(rows, chain="library")
     profiles = rows.drop("TotalCharges", LABEL).withColumn(
         "Contract", F.when(F.col("tenure") > 60, "Weekly").otherwise(F.col("Contract"))
     )
@@ -589,38 +653,88 @@ def prepare_profiles(spark, folder):
 
 @query
 def decisions_by_model(spark, folder):
-    train, test = _train_test(spark, folder)
-    scored = models.score(test, models.fit_logistic(train, max_iter=50), "logistic")
+    scored = _test_scores(spark, folder, "logistic")
     return scored.select("id", "score", risk_level(F.col("score")).alias("risk_level"))
 
 
 @query
-def random_search(spark, folder):
-    space = {"maxIter": ("int", 2, 4), "maxDepth": ("int", 2, 3), "stepSize": ("log", 0.05, 0.3)}
-    found, _, _ = tuning.random_search(accounts(spark, folder), space, n_iter=2, k=2)
-    return found
+def model_folds(spark, folder):
+    """All four models refitted in five folds: a row per model and fold."""
+    runs = folds.fold_runs(accounts(spark, folder), FITS, 5, parallelism=8)
+    counted = runs.groupBy("model", "fold").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum("label").alias("n_positive"),
+        F.count_if(F.col("score").between(0, 1)).alias("n_in_range"),
+    )
+    scores = metrics.fold_scores(runs).select("model", "fold", F.col("score").between(0, 1).alias("scored"))
+    return counted.join(scores, ["model", "fold"])
+
+
+def _trial_report(trials, k):
+    """What must hold of a search's trials: each has its folds' scores, their mean and their spread."""
+    each = F.array(*[F.col(f"fold_{i}") for i in range(k)])
+    mean = F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / k
+    spread = F.sqrt(F.aggregate(each, F.lit(0.0), lambda a, x: a + (x - F.col("score")) * (x - F.col("score"))) / k)
+    near = (F.abs(mean - F.col("score")) < 1e-9) & (F.abs(spread - F.col("std")) < 1e-9)
+    return trials.groupBy("study").agg(
+        F.count(F.lit(1)).alias("n_trials"),
+        F.sum(F.size(F.filter(each, lambda x: x.between(0, 1)))).alias("n_fold_scores"),
+        F.count_if(near).alias("n_sound"),
+        F.count_if(F.col("rank") == 1).alias("n_best"),
+        F.countDistinct("params").alias("n_points"),
+    )
 
 
 @query
-def grid_search(spark, folder):
-    found, _, _ = tuning.grid_search(accounts(spark, folder), {"maxDepth": [2, 3], "maxIter": [3]}, k=2)
-    return found
+def random_search_small(spark, folder):
+    """Five draws of the second preset on three folds (T2, small form), as published."""
+    found, _, _ = tuning.random_search(
+        accounts(spark, folder), tuning.SPACE_B_SMALL, n_iter=5, k=3, preset="b", parallelism=8
+    )
+    return _trial_report(found, 3)
 
 
 @query
-def fine_tune(spark, folder):
-    grid = {"maxDepth": [2, 3], "stepSize": [0.05], "minInstancesPerNode": [1]}
-    found, _, _ = tuning.fine_tune(accounts(spark, folder), k=2, grid=grid, base={"maxIter": 3})
-    return found
+def grid_search(spark, folder):
+    """The published grid of eight points on three folds (T4)."""
+    found, _, _ = tuning.grid_search(accounts(spark, folder), parallelism=8)
+    return _trial_report(found, 3)
 
 
 @query
-def wide_search(spark, folder):
-    space = {"maxIter": ("int", 2, 4), "maxDepth": ("int", 2, 3)}
-    found, _, _ = tuning.wide_search(
-        accounts(spark, folder), space, n=2, k=2,
-        grid={"maxDepth": [2], "minInstancesPerNode": [1, 3]}, base={"maxIter": 3},
-    )
+def score_stream_model(spark, folder):
+    """A stream of CSV files, some records of which are damaged, scored by a fitted model; the same
+    in one batch. Damaged records end apart."""
+    model = fitted_models(spark, folder, "logistic")["logistic"]
+    arrived = new_path(spark, "arrived")
+    rows = accounts(spark, folder)
+    account_source.write_accounts_csv(rows, arrived)
+    broken = rows.where(F.col(ID).cast("bigint") % 20 == 0)
+    # No number of months.
+    broken = broken.withColumn("tenure", F.concat(F.lit("about "), F.col("tenure").cast("string")))
+    broken.write.mode("append").option("header", True).csv(arrived)
+
+    def plan(part):
+        return stream_scoring.score_stream(part, model, "logistic")
+
+    out, apart = new_path(spark, "decided"), new_path(spark, "quarantine")
+    stream = account_source.read_accounts_checked(spark, arrived, stream=True, files_per_batch=2)
+    stream_scoring.run_checked_stream(stream, plan, out, apart, new_path(spark, "progress")).awaitTermination()
+    checked = account_source.read_accounts_checked(spark, arrived)
+    sides = {
+        "sound": (plan(account_source.sound_records(checked)), out),
+        "damaged": (account_source.bad_records(checked), apart),
+    }
+    found = None
+    for side, (batch, path) in sides.items():
+        streamed = spark.read.schema(batch.schema).option("recursiveFileLookup", "true").parquet(path)
+        both = batch.withColumn("s", F.lit(0)).unionByName(streamed.withColumn("s", F.lit(1)))
+        row = both.groupBy(F.xxhash64(*batch.columns).alias("h")).agg(
+            F.count_if(F.col("s") == 0).alias("b"), F.count_if(F.col("s") == 1).alias("t")
+        )
+        row = row.agg(F.sum("b").alias("n_batch"), F.sum("t").alias("n_stream"), F.sum(F.least("b", "t")).alias("n_same"))
+        row = row.select(F.lit(side).alias("side"), "*")
+        found = row if found is None else found.unionByName(row)
     return found
 
 

@@ -41,3 +41,11 @@ def combined_importance(importances: DataFrame, n: int = 10) -> DataFrame:
         .orderBy(F.desc("mean_share"), "feature")
         .limit(n)
     )
+
+
+def importance_shares(importances: DataFrame, n: int = 10) -> DataFrame:
+    """Each model's own share of the ``n`` features with the highest mean share."""
+    total = F.sum("importance").over(Window.partitionBy("model"))
+    shares = importances.select("feature", "model", F.try_divide(F.col("importance"), total).alias("share"))
+    # At most n rows.
+    return shares.join(F.broadcast(combined_importance(importances, n)), "feature")

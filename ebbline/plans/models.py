@@ -1,5 +1,6 @@
 """Classifiers, and tables scored by them."""
 
+import json
 from collections.abc import Mapping
 
 from pyspark.ml import PipelineModel
@@ -40,8 +41,8 @@ def training_frame(
     assembler = VectorAssembler(inputCols=features.getInputCols(), outputCol="features")
     rows = assembler.transform(fitted.transform(df))
     label = flag(F.col(schema.LABEL) == "Yes").alias("label")
-    # Written once: a fit reads its rows many times.
-    rows = stage(rows.select("features", label, *keep), "training")
+    # Written once, in as many files as their size asks for: a fit reads its rows many times.
+    rows = stage(rows.select("features", label, *keep).hint("rebalance"), "training")
     return class_weights(rows, "label", weight_mode), [fitted, assembler]
 
 
@@ -108,13 +109,49 @@ def score(df: DataFrame, model: PipelineModel, name: str, keep: list[str] | None
     )
 
 
+def _preparation(model: PipelineModel) -> str:
+    """What a model's preparation does, as a text: equal texts make equal vectors."""
+    steps = []
+    for step in model.stages[:-1]:
+        values = {p.name: step.getOrDefault(p) for p in step.params if step.isDefined(p) and p.name != "outputCol"}
+        steps.append([type(step).__name__, values])
+    return json.dumps(steps, sort_keys=True, default=str)
+
+
 def score_all(models: Mapping[str, PipelineModel], df: DataFrame, keep=None) -> DataFrame:
-    """Every row scored by every model, one long table (M6)."""
-    out = None
-    for name, model in models.items():
-        part = score(df, model, name, keep)
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Every row scored by every model, one long table (M6).
+
+    The rows are read once: each is prepared once for all models that prepare it alike, every
+    model adds its score beside the others', and one row per model is made of them at the end.
+    ``keep`` names columns of ``df``.
+    """
+    rows, vectors, results = df.select(F.struct(*df.columns).alias("_row")), {}, []
+    for model in models.values():
+        steps = _preparation(model)
+        if steps not in vectors:
+            carried = F.struct("_row", *vectors.values()).alias("_carried")
+            ready = prepare_profiles(rows.select("_row.*", carried), model)
+            column = f"_vector{len(vectors)}"
+            rows = ready.select("_carried.*", F.col(model.stages[-2].getOutputCol()).alias(column))
+            vectors[steps] = column
+    for i, (name, model) in enumerate(models.items()):
+        classifier = model.stages[-1].copy()
+        classifier.setFeaturesCol(vectors[_preparation(model)])
+        classifier.setRawPredictionCol(f"_raw{i}").setProbabilityCol(f"_probability{i}").setPredictionCol(f"_prediction{i}")
+        rows = classifier.transform(rows)
+        results.append(
+            F.struct(
+                F.lit(name).alias("model"),
+                vector_to_array(f"_probability{i}")[1].alias("score"),
+                F.col(f"_prediction{i}").cast("int").alias("prediction"),
+            )
+        )
+    label = flag(F.col(f"_row.{schema.LABEL}") == "Yes") if schema.LABEL in df.columns else F.lit(None)
+    kept = [F.col(f"_row.{c}").alias(c) for c in keep or []]
+    scored = rows.select(
+        F.col(f"_row.{schema.ID}").alias("id"), label.cast("int").alias("label"), *kept, F.inline(F.array(*results))
+    )
+    return scored.select("id", "model", "label", "score", "prediction", *(keep or []))
 
 
 def soft_vote(scored: DataFrame, name: str = "ensemble") -> DataFrame:

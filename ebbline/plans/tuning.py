@@ -1,22 +1,25 @@
-"""Hyper-parameter search with Spark's cross-validator, and reports over its trials."""
+"""Hyper-parameter search over stratified folds, and reports over its trials."""
 
 import json
 import math
 import random
+import statistics
+import zlib
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbline import schema
 from ebbline.operators.distributions import histogram
-from ebbline.operators.ordered import running_totals
+from ebbline.operators.ordered import ranks, running_totals
 from ebbline.operators.splits import stratified_folds
 from ebbline.plans.features_stage import AccountFeatures
+from ebbline.plans.ledger import Ledger, run_all
 from ebbline.plans.models import SEED, WEIGHT_MODES, gbt, training_frame
-from ebbline.sources.staging import attach, stage
+from ebbline.sources.staging import new_path
 
 # The searched ranges, as (kind, low, high) or a list of choices. Leaf
 # penalties, bagging temperature and random strength have no counterpart in Spark's trees.
@@ -82,8 +85,15 @@ def _value(name: str, value):
     return str(value) if name == "featureSubsetStrategy" else value
 
 
-def _param_maps(estimator, points: list[dict]) -> list[dict]:
-    return [{estimator.getParam(k): _value(k, v) for k, v in p.items()} for p in points]
+# A row of the ledger: one point fitted on the training part of one fold.
+_TRIAL = "study string, trial int, fold int, params string, job string, score double"
+
+
+def _job(rows: DataFrame, k: int, preset: str, base: dict) -> str:
+    """What a kept result depends on besides its point: the rows, the folds, fixed parameters."""
+    mark = F.bit_xor(F.xxhash64("label", "weight", "fold", F.col("features").cast("string")))
+    n, sign = rows.agg(F.count(F.lit(1)), mark).first()
+    return json.dumps([n, sign, k, preset, base], sort_keys=True)
 
 
 def cross_validate(
@@ -93,37 +103,57 @@ def cross_validate(
     preset: str = "a",
     base: dict | None = None,
     study: str = "search",
-    parallelism: int = 2,
+    parallelism: int = 4,
+    path: str | None = None,
 ) -> tuple[DataFrame, PipelineModel, dict]:
     """Score every point on ``k`` stratified folds by AUC, then refit the best on all rows.
 
-    Returns the ranked trials, the refitted pipeline and the best point.
+    Returns the ranked trials (mean and population std of the fold scores, and each
+    ``fold_<i>``), the refitted pipeline and the best point. ``path`` names a ledger: every point
+    and fold is written there as it ends, and a search started again, after its driver was lost
+    or with more points, fits only what isn't there. Kept results count only for the same rows,
+    folds and fixed parameters.
     """
-    folded = stratified_folds(df, schema.LABEL, schema.ID, k, SEED)
+    spark, base = df.sparkSession, base or {}
+    folded = stratified_folds(df, schema.LABEL, schema.ID, k, SEED).where("fold is not null")
     rows, stages = training_frame(folded, AccountFeatures(), WEIGHT_MODES[preset], keep=["fold"])
-    estimator = gbt(preset, **(base or {}))
-    search = CrossValidator(
-        estimator=estimator,
-        estimatorParamMaps=_param_maps(estimator, points),
-        evaluator=BinaryClassificationEvaluator(labelCol="label", numBins=0),
-        numFolds=k,
-        foldCol="fold",
-        parallelism=parallelism,
-    )
-    found = search.fit(rows)
-    results = [
-        (study, i, json.dumps(p, sort_keys=True), float(m), float(s))
-        for i, (p, m, s) in enumerate(zip(points, found.avgMetrics, found.stdMetrics))
-    ]
-    trials = df.sparkSession.createDataFrame(
-        results, "study string, trial int, params string, score double, std double"
-    )
-    best = max(range(len(points)), key=lambda i: (found.avgMetrics[i], -i))
-    return rank_trials(trials), PipelineModel([*stages, found.bestModel]), points[best]
-
-
-def random_search(df, space=None, n_iter=50, k=5, seed=SEED, preset="a", **options):
-    """Seeded random draws, cross-validated."""
+    ledger = Ledger(spark, path or new_path(spark, "trials"), _TRIAL)
+    job = _job(rows, k, preset, base)
+    named = [json.dumps(p, sort_keys=True) for p in points]
+
+    def known() -> dict:
+        kept = ledger.rows().where(F.col("job") == job).select("params", "fold", "score").collect()
+        return {(r["params"], r["fold"]): r["score"] for r in kept}
+
+    # Exact, and not by bins of the scores.
+    evaluator = BinaryClassificationEvaluator(labelCol="label", numBins=0)
+
+    def fitted(point: dict, part: DataFrame):
+        return gbt(preset, **{name: _value(name, v) for name, v in {**base, **point}.items()}).fit(part)
+
+    def run(trial: int, fold: int) -> None:
+        model = fitted(points[trial], rows.where(F.col("fold") != fold))
+        auc = evaluator.evaluate(model.transform(rows.where(F.col("fold") == fold)))
+        row = (study, trial, fold, named[trial], job, float(auc))
+        ledger.add(f"{study}-{trial}-{fold}-{zlib.crc32((job + named[trial]).encode()):08x}", spark.createDataFrame([row], _TRIAL))
+
+    done = known()
+    run_all(spark, run, [(i, f) for i, p in enumerate(named) for f in range(k) if (p, f) not in done], parallelism)
+    done = known()
+    results, means = [], []
+    for i, p in enumerate(named):
+        each = [done[p, f] for f in range(k)]
+        means.append(statistics.fmean(each))
+        results.append((study, i, p, means[-1], statistics.pstdev(each), *each))
+    kinds = "".join(f", fold_{f} double" for f in range(k))
+    trials = spark.createDataFrame(results, f"study string, trial int, params string, score double, std double{kinds}")
+    best = max(range(len(points)), key=lambda i: (means[i], -i))
+    return rank_trials(trials), PipelineModel([*stages, fitted(points[best], rows)]), points[best]
+
+
+def random_search(df, space=None, n_iter=None, k=5, seed=SEED, preset="a", **options):
+    """Seeded random draws, cross-validated: 50 of the first preset (T1), 30 of the other."""
+    n_iter = n_iter or (50 if preset == "a" else 30)
     points = draw_params(space or (SPACE_A if preset == "a" else SPACE_B), n_iter, seed)
     return cross_validate(df, points, k, preset, **options)
 
@@ -187,12 +217,7 @@ def rank_trials(trials: DataFrame, whole: bool = False) -> DataFrame:
     A trial without a score has no rank.
     """
     by = [] if whole else ["study"]
-    counts = trials.dropna(subset=[*by, "score"]).groupBy(*by, "score").agg(
-        F.count(F.lit(1)).alias("c")
-    )
-    ranks = running_totals(counts, by, "score", ["c"], descending=True)
-    ranks = stage(ranks.select(*by, "score", (F.col("run_c") - F.col("c") + 1).alias("rank")), "ranks")
-    return attach(trials, ranks, [*by, "score"], "left").select(*trials.columns, "rank")
+    return ranks(trials, by, "score", descending=True)
 
 
 def best_so_far(trials: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ebbline import schema
@@ -11,7 +12,7 @@ from ebbline.functions.expressions import risk_level
 from ebbline.operators.decisions import decision_columns, recommendations
 from ebbline.plans.features_stage import with_raw_columns
 from ebbline.plans.models import score
-from pyspark.sql import functions as F
+from ebbline.sources.accounts import bad_records, sound_records
 
 
 def read_profile_stream(
@@ -64,3 +65,28 @@ def run_stream(
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
+
+
+def run_checked_stream(
+    stream: DataFrame,
+    plan: Callable[[DataFrame], DataFrame],
+    out: str,
+    quarantine: str,
+    checkpoint: str,
+    available_now: bool = True,
+) -> StreamingQuery:
+    """Apply a plan to the sound records of a checked stream; keep the texts of the others apart.
+
+    ``stream`` comes from ``read_accounts_checked``. Each batch writes its own folder under
+    ``out`` and ``quarantine``, and writes it anew if it has to be repeated, so that every record
+    ends in one of the two exactly once.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        plan(sound_records(batch)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        bad_records(batch).write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()

@@ -3,9 +3,9 @@ from pyspark.sql import functions as F
 
 from checks.queries import accounts as derive
 from ebbline import schema
-from ebbline.operators import curves, importance, splits
-from ebbline.plans import models, preparation, tuning
-from ebbline.sources import prepared
+from ebbline.operators import curves, importance, metrics, splits
+from ebbline.plans import folds, ledger, models, preparation, tuning
+from ebbline.sources import accounts, prepared
 from ebbline.sources.accounts import write_accounts_csv
 from ebbline.streaming import scoring
 
@@ -128,3 +128,88 @@ def test_refined_search_returns_what_it_fitted(parts):
     again = models.fit_gbt(parts[0], "b", **point)
     assert best.items() <= point.items()
     assert auc(models.score(parts[1], model, "m")) == auc(models.score(parts[1], again, "m"))
+
+
+def test_all_models_share_one_scan(spark, parts, logistic, tmp_path):
+    forest = models.fit_forest(parts[0], trees=3, depth=3)
+    other = models.fit_gbt(parts[0], "b", maxIter=2, maxDepth=2)
+    path = str(tmp_path / "rows")
+    parts[1].write.parquet(path)
+    rows = spark.read.parquet(path)
+    fitted = {"logistic": logistic, "forest": forest, "other": other}
+    together = models.score_all(fitted, rows, keep=["tenure"])
+    plan = together._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Union" not in plan
+    for name, model in fitted.items():
+        one = models.score(rows, model, name)
+        assert together.where(F.col("model") == name).select(one.columns).exceptAll(one).count() == 0
+    assert together.count() == 3 * rows.count()
+    assert together.where("model = 'forest'").select("id", "tenure").exceptAll(rows.select(F.col("customerID"), "tenure")).count() == 0
+
+
+def test_folds_refit_every_model(spark, tmp_path):
+    rows = derive(spark, "/root/testdata/sf0.01")
+    seen = []
+
+    def fit(train):
+        seen.append(train.count())
+        return models.fit_logistic(train, max_iter=10)
+
+    path = str(tmp_path / "runs")
+    fits = {"one": fit, "two": lambda t: models.fit_forest(t, trees=3, depth=3)}
+    runs = folds.fold_runs(rows, fits, k=3, path=path)
+    n = rows.count()
+    assert sorted(seen) == [n - s for s in sorted((r["count"] for r in runs.where("model = 'one'").groupBy("fold").count().collect()), reverse=True)]
+    for name in fits:
+        assert runs.where(F.col("model") == name).select("id").exceptAll(rows.select("customerID")).count() == 0
+    assert runs.count() == 2 * n
+    summary = {r["model"]: r for r in metrics.cv_summary(metrics.fold_scores(runs)).collect()}
+    assert set(summary) == set(fits) and all(r["n_folds"] == 3 and r["mean_score"] > 0.5 for r in summary.values())
+    assert metrics.cv_box(metrics.fold_scores(runs)).count() == 2
+    # What was kept isn't fitted again.
+    again = folds.fold_runs(rows, {**fits, "three": fits["two"]}, k=3, path=path)
+    assert len(seen) == 3 and again.count() == 3 * n
+
+
+def test_search_goes_on_after_its_driver_is_lost(spark, parts, tmp_path, monkeypatch):
+    rows = derive(spark, "/root/testdata/sf0.01")
+    options = {"grid": {"maxDepth": [1, 3], "maxIter": [3]}, "k": 3, "preset": "b"}
+    whole, _, best = tuning.grid_search(rows, **options)
+    added, add = [], ledger.Ledger.add
+
+    def lost(self, run, part):
+        if len(added) == 4:
+            raise RuntimeError("the driver is lost")
+        added.append(run)
+        add(self, run, part)
+
+    monkeypatch.setattr(ledger.Ledger, "add", lost)
+    path = str(tmp_path / "trials")
+    with pytest.raises(RuntimeError, match="lost"):
+        tuning.grid_search(rows, path=path, parallelism=1, **options)
+    # A run that was being written.
+    (tmp_path / "trials" / "run=half" / "_temporary").mkdir(parents=True)
+    monkeypatch.setattr(ledger.Ledger, "add", lambda self, run, part: (added.append(run), add(self, run, part)))
+    found, _, point = tuning.grid_search(rows, path=path, **options)
+    assert len(added) == len(set(added)) == 6 and point == best
+    names = ["trial", "params", "score", "std", "fold_0", "fold_1", "fold_2", "rank"]
+    one, two = (t.select(names).orderBy("trial").collect() for t in (whole, found))
+    assert [[pytest.approx(x, abs=1e-9) if isinstance(x, float) else x for x in r] for r in one] == [list(r) for r in two]
+    # Other rows aren't taken for the same.
+    tuning.grid_search(rows.where("tenure > 5"), path=path, **options)
+    assert len(added) == 12
+
+
+def test_bad_records_are_set_apart(spark, parts, tmp_path):
+    rows = derive(spark, "/root/testdata/sf0.001")
+    for fmt in ("csv", "json"):
+        path = str(tmp_path / fmt)
+        rows.write.format(fmt).option("header", True).save(path)
+        broken = rows.limit(7).withColumn("tenure", F.lit("many"))
+        broken.write.format(fmt).mode("append").option("header", True).save(path)
+        checked = accounts.read_accounts_checked(spark, path, fmt)
+        assert accounts.sound_records(checked).count() == rows.count()
+        assert accounts.sound_records(checked).select("customerID").count() == rows.count()
+        assert accounts.bad_records(checked).where("record like '%many%'").count() == 7
+    with pytest.raises(ValueError, match="orc"):
+        accounts.read_accounts_checked(spark, path, "orc")
