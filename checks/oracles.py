@@ -1032,3 +1032,10 @@ acc(
         for side, where in (("sound", "true"), ("damaged", f'CAST("{ID}" AS BIGINT) % 20 = 0'))
     ),
 )
+raw(
+    "encode_order_codes",
+    """WITH keyed AS (
+      SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 <> 0 THEN 'order-' || o_orderkey END, 'nan') AS k, o_orderstatus FROM orders)
+    SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY k) - 1 AS INT) AS code,
+      CAST(dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS INT) AS status FROM keyed""",
+)

@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from checks.fixtures import accounts_from_orders, scorecard_scores
 from ebbline import schema
 from ebbline.functions.expressions import risk_level
 from ebbline.operators import (
@@ -28,8 +29,8 @@ from ebbline.operators import (
     splits,
 )
 from ebbline.plans import folds, models, preparation, tuning
+from ebbline.plans.code_tables import CodeTable, CodeTableModel
 from ebbline.plans.ledger import run_all
-from ebbline.plans.scorecards import scorecard_scores
 from ebbline.sources import accounts as account_source
 from ebbline.sources import prepared
 from ebbline.sources.staging import new_path, stage
@@ -83,7 +84,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def accounts(spark: SparkSession, folder: str) -> DataFrame:
-    return account_source.accounts_from_orders(
+    return accounts_from_orders(
         table(spark, folder, "customer"), table(spark, folder, "orders")
     )
 
@@ -227,6 +228,16 @@ def encode_customer_names(spark, folder):
     return encoding.apply_encoders(rows, encoding.fit_encoders(rows, ["c_name", "c_mktsegment"]))
 
 
+@query
+def encode_order_codes(spark, folder):
+    """As many categories as there are orders, but for the third that has none, through a saved model."""
+    key = F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")))
+    rows = table(spark, folder, "orders").select("o_orderkey", key.alias("code"), F.col("o_orderstatus").alias("status"))
+    path = new_path(spark, "code-model")
+    CodeTable(inputCols=["code", "status"]).fit(rows).write().save(path)
+    return CodeTableModel.load(path).transform(rows)
+
+
 on_accounts("charges_per_month", lambda a: features.add_charges_per_month(cleaning.clean(a)).select(ID, "ChargesPerMonth"))
 on_accounts("charges_per_tenure", lambda a: features.add_charges_per_tenure(a).select(ID, "charges_per_tenure"))
 on_accounts("tenure_group", lambda a: features.add_tenure_group(a).select(ID, "TenureGroup"))

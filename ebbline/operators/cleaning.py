@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ebbline import schema
 from ebbline.operators.ordered import approximate_quantiles, exact_quantiles
+from ebbline.sources.staging import stage
 
 
 def drop_identifier(df: DataFrame, identifier: str = schema.ID) -> DataFrame:
@@ -19,8 +20,11 @@ def coerce_numeric(df: DataFrame, column: str = "TotalCharges") -> DataFrame:
 
 def median_of(df: DataFrame, column: str, approx: bool = False) -> DataFrame:
     """One row with the median; ``approx`` reads one sketch instead of shuffling values."""
-    quantiles = approximate_quantiles if approx else exact_quantiles
-    return quantiles(df, [], column, [0.5]).select(F.col("q0").alias("median"))
+    if approx:
+        return approximate_quantiles(df, [], column, [0.5]).select(F.col("q0").alias("median"))
+    # Read once: what the exact median reads again is the one column.
+    values = stage(df.select(column).dropna(), "values")
+    return exact_quantiles(values, [], column, [0.5]).select(F.col("q0").alias("median"))
 
 
 def impute_median(df: DataFrame, column: str = "TotalCharges", approx: bool = False) -> DataFrame:

@@ -7,7 +7,7 @@ from ebbline import schema
 from ebbline.functions.expressions import flag
 from ebbline.operators.ordered import global_positions
 from ebbline.operators.profiling import is_text
-from ebbline.sources.staging import stage
+from ebbline.sources.staging import attach, stage
 
 # A column with at most this many values is encoded by a CASE; others by a join.
 CASE_VALUES = 64
@@ -62,6 +62,29 @@ def encoder_table(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return fit_encoders(df, columns)
 
 
+def _finish(code: Column, name: str, text: Column, unseen: str) -> Column:
+    if unseen == "zero":
+        return F.coalesce(code, F.lit(0))
+    message = F.concat(F.lit(f"unseen value in {name}: "), text)
+    return F.coalesce(code, F.raise_error(message).cast("int"))
+
+
+def look_up(df: DataFrame, codes: DataFrame, columns: list[str], unseen: str = "error") -> DataFrame:
+    """Replace categories by their codes in a staged code table of any size.
+
+    A table that fits a broadcast moves no row. Beyond that, values that many rows share (a missing
+    category, say) are broadcast all the same, and only the rows of the others are shuffled.
+    """
+    out = df
+    for c in columns:
+        lookup = codes.where(F.col("column_name") == c).select(F.col("value").alias("_text"), F.col("code").alias("_code"))
+        keyed = out.withColumn("_text", _as_category(F.col(c)))
+        # A stream's rows can't be counted: the planner decides by the table's size.
+        joined = keyed.join(lookup, "_text", "left") if df.isStreaming else attach(keyed, lookup, ["_text"], "left")
+        out = joined.withColumn(c, _finish(F.col("_code"), c, F.col("_text"), unseen)).drop("_text", "_code")
+    return out
+
+
 def apply_encoders(
     df: DataFrame,
     codes: DataFrame,
@@ -70,36 +93,23 @@ def apply_encoders(
 ) -> DataFrame:
     """Replace categories by their codes; an unseen one fails or becomes code 0.
 
-    Small vocabularies turn into CASE expressions: no join, no shuffle. A large one stays a
-    table, whose measured size decides how Spark joins it.
+    Vocabularies of up to ``CASE_VALUES`` turn into CASE expressions: no join, no shuffle. Larger
+    ones stay a table; see ``look_up``.
     """
+    codes = stage(codes, "codes")
     sizes = {r[0]: r[1] for r in codes.groupBy("column_name").count().collect()}
     columns = [c for c in (columns or sorted(sizes)) if c in sizes and c in df.columns]
     short = [c for c in columns if sizes[c] <= CASE_VALUES]
     pairs = codes.where(F.col("column_name").isin(short)).collect() if short else []
-
-    def finish(code: Column, name: str, text: Column) -> Column:
-        if unseen == "zero":
-            return F.coalesce(code, F.lit(0))
-        message = F.concat(F.lit(f"unseen value in {name}: "), text)
-        return F.coalesce(code, F.raise_error(message).cast("int"))
-
     coded = {}
     for c in short:
         text = _as_category(F.col(c))
         code = F.lit(None).cast("int")
         for row in sorted((r for r in pairs if r["column_name"] == c), key=lambda r: -r["code"]):
             code = F.when(text == row["value"], row["code"]).otherwise(code)
-        coded[c] = finish(code, c, text)
+        coded[c] = _finish(code, c, text, unseen)
     out = df.withColumns(coded) if coded else df
-    for c in (c for c in columns if c not in short):
-        lookup = codes.where(F.col("column_name") == c).select(
-            F.col("value").alias("_text"), F.col("code").alias("_code")
-        )
-        text = _as_category(F.col(c))
-        joined = out.join(lookup, text == F.col("_text"), "left")
-        out = joined.withColumn(c, finish(F.col("_code"), c, text)).drop("_text", "_code")
-    return out.select(*df.columns)
+    return look_up(out, codes, [c for c in columns if c not in short], unseen).select(*df.columns)
 
 
 def apply_encoders_lenient(

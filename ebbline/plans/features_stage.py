@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ebbline import schema
 from ebbline.operators.cleaning import coerce_numeric
-from ebbline.operators.encoding import encode_binary, fit_encoders
+from ebbline.operators.encoding import CASE_VALUES, encode_binary, fit_encoders, look_up
 from ebbline.operators.features import (
     add_library_features,
     add_notebook_features,
@@ -19,12 +19,12 @@ from ebbline.operators.features import (
     with_feature_columns,
 )
 from ebbline.operators.scaling import fit_scaler
+from ebbline.plans.code_tables import WithCodes
+from ebbline.sources.staging import stage
 
-# A model's categories travel inside the model; larger vocabularies belong in a code table.
-MAX_CATEGORIES = 10_000
 
 
-class _FeatureParams(HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
+class _AccountParams(HasInputCols):
     """``inputCols`` is the ordered feature list."""
 
     chain = Param(
@@ -57,7 +57,7 @@ def _late_features(df: DataFrame, chain: str) -> DataFrame:
     return add_library_features(df).transform(add_tenure_group, open_ended=True)
 
 
-class AccountFeatures(Estimator, _FeatureParams):
+class AccountFeatures(Estimator, _AccountParams, DefaultParamsReadable, DefaultParamsWritable):
     """Learns category codes and, if asked, scaling from training rows."""
 
     @keyword_only
@@ -68,14 +68,16 @@ class AccountFeatures(Estimator, _FeatureParams):
 
     def _fit(self, df: DataFrame) -> "AccountFeaturesModel":
         columns = [c for c in schema.CATEGORY_COLUMNS if c in df.columns]
-        codes = fit_encoders(df, columns).limit(MAX_CATEGORIES + 1).collect()
-        if len(codes) > MAX_CATEGORIES:
-            raise ValueError(f"more than {MAX_CATEGORIES} categories; encode by a code table")
-        vocabulary: dict[str, list[str]] = {c: [] for c in columns}
-        for row in sorted(codes, key=lambda r: r["code"]):
+        codes = stage(fit_encoders(df, columns), "codes")
+        sizes = {r[0]: r[1] for r in codes.groupBy("column_name").count().collect()}
+        # Short vocabularies become parameters, longer ones stay a table.
+        vocabulary: dict[str, list[str]] = {c: [] for c in columns if sizes.get(c, 0) <= CASE_VALUES}
+        for row in codes.where(F.col("column_name").isin(list(vocabulary))).orderBy("code").collect():
             vocabulary[row["column_name"]].append(row["value"])
         chain, names = self.getOrDefault("chain"), self.getInputCols()
         model = AccountFeaturesModel()
+        if len(vocabulary) < len(columns):
+            model.codes = codes.where(~F.col("column_name").isin(list(vocabulary)))
         model._set(chain=chain, scaled=False, inputCols=names, vocabulary=vocabulary)
         if self.getOrDefault("scaled"):
             stats = fit_scaler(model.transform(df), names).first()
@@ -84,7 +86,7 @@ class AccountFeatures(Estimator, _FeatureParams):
         return model
 
 
-class AccountFeaturesModel(Model, _FeatureParams):
+class AccountFeaturesModel(Model, _AccountParams, WithCodes):
     """Raw profiles to encoded, completed and scaled feature columns.
 
     An unseen category becomes code 0, absent total charges the monthly charge times the
@@ -101,12 +103,17 @@ class AccountFeaturesModel(Model, _FeatureParams):
     def _transform(self, df: DataFrame) -> DataFrame:
         chain, names = self.getOrDefault("chain"), self.getInputCols()
         out = encode_binary(_raw_features(df, chain))
+        vocabulary = self.getOrDefault("vocabulary")
         # A column that training lacked has no codes: all 0.
         coded = {c: F.lit(0) for c in schema.CATEGORY_COLUMNS}
-        for column, values in self.getOrDefault("vocabulary").items():
+        for column, values in vocabulary.items():
             text = F.coalesce(F.col(column).cast("string"), F.lit("nan"))
             place = F.array_position(F.array(*[F.lit(v) for v in values]), text)
             coded[column] = F.greatest(place - 1, F.lit(0)).cast("int")
+        if self.codes is not None:
+            long = [r[0] for r in self.codes.select("column_name").distinct().collect()]
+            out = look_up(out, self.codes, long, unseen="zero")
+            coded = {c: x for c, x in coded.items() if c not in long}
         out = _late_features(out.withColumns(coded), chain)
         out = with_feature_columns(out, names)
         out = out.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in names})

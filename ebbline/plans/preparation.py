@@ -10,6 +10,7 @@ from ebbline.operators.scaling import apply_scaler, fit_scaler
 from ebbline.operators.splits import stratified_split
 from ebbline.sources.accounts import read_accounts
 from ebbline.sources.prepared import read_prepared, write_prepared
+from ebbline.sources.staging import stage
 
 
 def prepare_accounts(accounts: DataFrame, out: str, test_size: float = 0.2, seed: int = 42):
@@ -19,10 +20,11 @@ def prepare_accounts(accounts: DataFrame, out: str, test_size: float = 0.2, seed
     rows, read back.
     """
     spark = accounts.sparkSession
-    cleaned = clean(accounts)
+    # Cleaned rows serve the codes and the features, split ones the scaler and the result.
+    cleaned = stage(clean(accounts), "cleaned")
     fit_encoders(cleaned).write.mode("overwrite").parquet(f"{out}/codes")
     codes = spark.read.parquet(f"{out}/codes")
-    split = stratified_split(features_library(cleaned, codes), test_size=test_size, seed=seed)
+    split = stage(stratified_split(features_library(cleaned, codes), test_size=test_size, seed=seed), "split")
     train = split.where("split = 'train'")
     fit_scaler(train, schema.LIBRARY_FEATURES).write.mode("overwrite").parquet(f"{out}/scaler")
     scaled = apply_scaler(split, spark.read.parquet(f"{out}/scaler"))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 # Largest side handed out as a broadcast, in rows of a staged (hence counted) table.
 MAX_BROADCAST_ROWS = 100_000
+# Ways that rows of hot keys go when the others are shuffled.
+SPREAD = 1 << 20
 
 
 _LOCAL_FOLDERS: dict[str, str] = {}
@@ -43,12 +45,13 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 def attach(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "inner", size: str | None = None) -> DataFrame:
-    """Join per-key rows of a *staged* table to ``df`` without moving a hot key.
+    """Join per-key rows of a *staged* table to ``df`` without moving a hot key (inner or left).
 
     Few keys: the counted side is broadcast and ``df`` is not shuffled. Many keys: those that
     hold a large share of ``df`` are broadcast all the same, as there can be but few of them, and
-    the rest is shuffled on the keys. ``size`` names the column of ``stats`` with the rows of each
-    key in ``df`` (at least), which is dropped; without it they are counted.
+    the rest is shuffled on the keys; rows that have theirs already go along, spread by what they
+    hold. ``df`` is read once. ``size`` names the column of ``stats`` with the rows of each key in
+    ``df`` (at least), which is dropped; without it they are counted.
     """
     n = stats.count()
     if n <= MAX_BROADCAST_ROWS:
@@ -57,8 +60,23 @@ def attach(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "inner",
         size = "_size"
         counts = stage(df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias(size)), "sizes")
         stats = stage(stats.join(counts, keys), "sized")
-    least = stats.agg(F.sum(size)).first()[0] // MAX_BROADCAST_ROWS
-    hot = stats.where(F.col(size) > least).drop(size)
-    rest = df.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    rest = rest.join(stats.where(F.col(size) <= least).drop(size), keys, how)
-    return df.join(F.broadcast(hot), keys).unionByName(rest)
+    least = (stats.agg(F.sum(size)).first()[0] or 0) // MAX_BROADCAST_ROWS
+    values = [c for c in stats.columns if c not in (*keys, size)]
+    hot = stats.where(F.col(size) > least)
+    hot = hot.select(*keys, F.struct(F.lit(1).alias("_"), *values).alias("_hot"))
+    cold = stats.where(F.col(size) <= least).select(
+        *[F.col(k).alias(f"_key_{k}") for k in keys],
+        F.lit(0).cast("bigint").alias("_spread"),
+        F.struct(F.lit(1).alias("_"), *values).alias("_cold"),
+    )
+    hashed = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    rows = df.join(F.broadcast(hot), keys, "left")
+    done = F.col("_hot").isNotNull()
+    spread = F.when(done, 1 + F.pmod(F.xxhash64(*hashed), F.lit(SPREAD))).otherwise(0)
+    # A null key meets nothing.
+    rows = rows.withColumns({"_spread": spread, **{f"_key_{k}": F.when(~done, F.col(k)) for k in keys}})
+    rows = rows.join(cold, ["_spread", *[f"_key_{k}" for k in keys]], "left")
+    if how == "inner":
+        rows = rows.where("_hot is not null or _cold is not null")
+    taken = [F.coalesce(f"_hot.{c}", f"_cold.{c}").alias(c) for c in values]
+    return rows.select(*keys, *[c for c in df.columns if c not in keys], *taken)

@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 from checks.queries import accounts as derive
 from ebbline import schema
 from ebbline.operators import curves, importance, metrics, splits
-from ebbline.plans import folds, ledger, models, preparation, tuning
-from ebbline.sources import accounts, prepared
+from ebbline.plans import features_stage, folds, ledger, models, preparation, tuning
+from ebbline.sources import accounts, prepared, staging
 from ebbline.sources.accounts import write_accounts_csv
 from ebbline.streaming import scoring
 
@@ -213,3 +213,30 @@ def test_bad_records_are_set_apart(spark, parts, tmp_path):
         assert accounts.bad_records(checked).where("record like '%many%'").count() == 7
     with pytest.raises(ValueError, match="orc"):
         accounts.read_accounts_checked(spark, path, "orc")
+
+
+def test_long_vocabularies_stay_a_table(spark, parts, tmp_path, monkeypatch):
+    rows = derive(spark, "/root/testdata/sf0.01")
+    plain = features_stage.AccountFeatures().fit(rows)
+    monkeypatch.setattr(features_stage, "CASE_VALUES", 2)
+    model = features_stage.AccountFeatures().fit(rows)
+    assert plain.codes is None and model.codes.select("column_name").distinct().count() > 1
+    strange = rows.withColumn("Contract", F.when(F.col("tenure") % 3 != 0, F.when(F.col("tenure") > 50, "Weekly").otherwise(F.col("Contract"))))
+    want = plain.transform(strange).select(schema.ID, *schema.NOTEBOOK_FEATURES)
+    assert model.transform(strange).select(want.columns).exceptAll(want).count() == 0
+    model.write().overwrite().save(str(tmp_path / "model"))
+    loaded = features_stage.AccountFeaturesModel.load(str(tmp_path / "model"))
+    assert loaded.transform(strange).select(want.columns).exceptAll(want).count() == 0
+    # Beyond the bound of a broadcast, with a value that a third of the rows share.
+    monkeypatch.setattr(staging, "MAX_BROADCAST_ROWS", 2)
+    spread = loaded.transform(strange).select(want.columns)
+    assert spread.count() == rows.count() and spread.exceptAll(want).count() == 0
+
+
+def test_saved_pipeline_with_a_code_table(spark, parts, tmp_path, monkeypatch):
+    monkeypatch.setattr(features_stage, "CASE_VALUES", 2)
+    model = models.fit_forest(parts[0], trees=3, depth=3)
+    prepared.save_pipeline(model, str(tmp_path), "forest")
+    loaded = prepared.load_pipeline(str(tmp_path), "forest")
+    one, two = (models.score(parts[1], m, "m").select("id", "score") for m in (model, loaded))
+    assert one.exceptAll(two).count() == 0 and loaded.stages[0].codes is not None
