@@ -8,10 +8,19 @@ from ebbline.sources.staging import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
+HELPERS = ("size", "source_size", "target", "copies")
 # The hash gives 52 bits, all of which a double holds.
 _HASH_DIGITS = 13
 
 
+def free_prefix(columns: list[str]) -> str:
+    """``mix_``, with underscores in front until no column is named like a helper."""
+    prefix, known = "mix_", {c.lower() for c in columns}
+    while any(prefix + name in known for name in (*HELPERS, "source", "copy")):
+        prefix = "_" + prefix
+    return prefix
+
+
 def word_count(text: Column) -> Column:
     """Words between ASCII white space; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
@@ -68,27 +77,32 @@ def mix_sources(
     more if its hash, seeded and read as a fraction, lies below the rate's fraction: the same
     documents on every run and under every layout. A null text has size 0; a null source is a
     source of its own; rows that repeat an id share their decision; a source without words has
-    rate 0. ``copies`` makes the rows. An empty table gives an empty result.
+    rate 0. ``copies`` makes the rows. An empty table gives an empty result. If ``docs`` has a
+    column of one of the four names, all four get underscores in front until they are free; they
+    are the last four columns in any case.
     """
-    sized = docs.withColumn("mix_size", word_count(F.col(text_column).cast("string")))
-    sizes = sized.groupBy(F.col(source_column).alias("source")).agg(F.sum("mix_size").alias("source_size"))
+    prefix = free_prefix(docs.columns)
+    size, source_size, target, taken, source = (prefix + n for n in (*HELPERS, "source"))
+    sized = docs.withColumn(size, word_count(F.col(text_column).cast("string")))
+    sizes = sized.groupBy(F.col(source_column).alias("source")).agg(F.sum(size).alias("source_size"))
     targets = source_targets(stage(sizes, "sizes"), weights, percent, most)
-    rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(0.0)
+    rate = F.when(F.col(source_size) > 0, F.col(target) / F.col(source_size)).otherwise(0.0)
     digits = F.md5(F.concat(F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
     drawn = F.conv(F.substring(digits, 1, _HASH_DIGITS), 16, 10).cast("double") / float(1 << (4 * _HASH_DIGITS))
     named = targets.select(
-        F.col("source").alias("_source"),
-        F.col("source_size").alias("mix_source_size"),
-        F.col("target").alias("mix_target"),
+        F.col("source").alias(source),
+        F.col("source_size").alias(source_size),
+        F.col("target").alias(target),
     )
     # The sources' table is small beside the documents; the planner decides how to join it.
-    joined = sized.join(named, F.col(source_column).eqNullSafe(F.col("_source"))).drop("_source")
+    joined = sized.join(named, F.col(source_column).eqNullSafe(F.col(source))).drop(source)
     once_more = (drawn < rate - F.floor(rate)).cast("int")
-    return joined.withColumn("mix_copies", (F.floor(rate) + once_more).cast("int"))
+    return joined.withColumn(taken, (F.floor(rate) + once_more).cast("int"))
 
 
 def copies(mixed: DataFrame) -> DataFrame:
-    """The mixture itself: every row as often as it is taken, without the helper columns."""
-    taken = mixed.where("mix_copies > 0")
-    repeated = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
-    return repeated.drop("_copy", "mix_size", "mix_source_size", "mix_target", "mix_copies")
+    """The mixture itself: every row as often as it is taken, without the four helper columns."""
+    kept, taken = mixed.columns[:-4], mixed.columns[-1]
+    number = free_prefix(kept) + "copy"
+    repeated = mixed.where(F.col(taken) > 0).withColumn(number, F.explode(F.sequence(F.lit(1), F.col(taken))))
+    return repeated.select(kept)

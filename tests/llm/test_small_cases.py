@@ -97,6 +97,16 @@ def test_mixing_targets_and_copies(spark, odd):
     assert mixing.copies(mixed).columns == odd.columns
 
 
+def test_mixing_keeps_columns_named_like_its_own(spark):
+    own = ["_source", "mix_size", "mix_source_size", "mix_target", "mix_copies", "_copy", "_mix_copy", "Mix_Source"]
+    rows = spark.createDataFrame([(i, "a b c", "s", *["kept"] * 8) for i in range(6)], f"doc_id int, text string, source string, {', '.join(f'{c} string' for c in own)}")
+    mixed = mixing.mix_sources(rows)
+    assert mixed.columns[:-4] == rows.columns and [c.lstrip("_") for c in mixed.columns[-4:]] == ["mix_size", "mix_source_size", "mix_target", "mix_copies"]
+    made = mixing.copies(mixed)
+    assert made.columns == rows.columns and {tuple(r)[3:] for r in made.collect()} == {("kept",) * 8}
+    assert made.count() == sum(r[-1] for r in mixed.collect())
+
+
 def test_blocks_round_trip():
     rng = np.random.default_rng(0)
     for n in (0, 1, 63, 1023, 1024, 1025, 5000):
