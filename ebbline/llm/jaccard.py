@@ -31,6 +31,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ LEVELS = (2, 16, 256)
 # Counted shingles are cut to 48 bits; equal cuts of different shingles only raise a level.
 COUNT_BITS = 48
 # Shingles counted together in a task before they are handed on.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 # Largest light size ever considered; the cost decides below it.
 MAX_LIGHT = 19
 SKETCH_BITS = 1024
@@ -141,9 +142,8 @@ def common_levels(texts: DataFrame, width: int, ranges: int) -> np.ndarray:
 _SETS = "id bigint, n bigint, mark_a bigint, mark_b bigint, own int, keys array<bigint>, sketch binary, members binary"
 
 
-def _set_rows(docs: DataFrame, levels: np.ndarray, width: int, num: int, den: int) -> DataFrame:
+def _set_rows(docs: DataFrame, table: Broadcast, width: int, num: int, den: int) -> DataFrame:
     """One row per document with its set's marks, probing keys and, where needed, members."""
-    table = docs.sparkSession.sparkContext.broadcast(levels)
 
     def rows(batches):
         common = table.value
@@ -354,8 +354,9 @@ def near_duplicates(
     """
     plain = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text"))
     parts = max(64, min(1 << 14, 1 << (4 * plain.rdd.getNumPartitions() - 1).bit_length()))
-    levels = common_levels(plain.select("text"), width, parts)
+    levels = docs.sparkSession.sparkContext.broadcast(common_levels(plain.select("text"), width, parts))
     rows = stage(_set_rows(plain, levels, width, num, den), "sets")
+    levels.destroy()
     marks = ["mark_a", "mark_b", "n"]
     reps = rows.where("n > 0 and id is not null").groupBy(*marks).agg(F.min("id").alias("rep"))
     reps = stage(reps, "reps")

@@ -12,7 +12,7 @@ import pyarrow as pa
 
 from ebbline.llm.sharing import kept_in_worker
 
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 19
 
 # White space, as byte codes.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
