@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ebbline.llm import words as W
 from ebbline.llm.sharing import opened, share
+from ebbline.sources.staging import stage
 
 ITEMS = 20_000
 WIDTH = 3
@@ -104,6 +105,7 @@ def document_frequency(texts: DataFrame, known: np.ndarray) -> np.ndarray:
     counted = texts.mapInArrow(rows, "at bigint, c bigint").groupBy("at").agg(F.sum("c").alias("c"))
     out = np.zeros(len(known), np.int64)
     found = counted.toPandas()  # at most one row per n-gram of the block
+    shared.destroy()
     out[found["at"].to_numpy()] = found["c"].to_numpy()
     return out
 
@@ -221,4 +223,7 @@ def _find(plain: DataFrame, items: Items, threshold: float) -> DataFrame:
             names = ["doc_id", "item_id", "score", "end_word", "n_words"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-    return plain.mapInArrow(rows, "doc_id bigint, item_id bigint, score double, end_word bigint, n_words bigint")
+    fields = "doc_id bigint, item_id bigint, score double, end_word bigint, n_words bigint"
+    found = stage(plain.mapInArrow(rows, fields), "found")
+    shared.destroy()
+    return found
