@@ -4,7 +4,9 @@ A staged table cuts lineage, survives the loss of executors, and tells the plann
 size, so a join with it is broadcast or shuffled by fact and not by guess.
 """
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -18,6 +20,7 @@ SPREAD = 1 << 20
 
 
 _LOCAL_FOLDERS: dict[str, str] = {}
+_MADE: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,12 +32,30 @@ def shared_folder(spark: SparkSession) -> str:
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if context.applicationId not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="ebbline-")
+        folder = tempfile.mkdtemp(prefix="ebbline-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _LOCAL_FOLDERS[context.applicationId] = folder
     return _LOCAL_FOLDERS[context.applicationId]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return os.path.join(shared_folder(spark), "ebbline", f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_folder(spark), "ebbline", f"{name}-{uuid.uuid4().hex}")
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def remove_staged(spark: SparkSession) -> int:
+    """Delete what this application has staged so far; returns how many paths there were.
+
+    For the end of a session: results that weren't written elsewhere still read these tables.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    paths = _MADE.pop(spark.sparkContext.applicationId, [])
+    removed = 0
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        removed += bool(at.getFileSystem(conf).delete(at, True))
+    return removed
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:

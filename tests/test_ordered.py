@@ -275,3 +275,17 @@ def test_wider_latin_range(spark):
 
     one = spark.createDataFrame([("- Việt ẞ ☂",)], "t string")
     assert one.select(clean_display(F.col("t"), OUTSIDE_WIDER_LATIN)).first()[0] == "Việt ẞ"
+
+
+def test_staged_tables_can_be_removed(spark, tmp_path):
+    made = staging._MADE.pop(spark.sparkContext.applicationId, [])
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        kept = staging.stage(spark.range(5))
+        staging.new_path(spark, "never-written")
+        assert kept.count() == 5 and len(list((tmp_path / "ebbline").iterdir())) == 1
+        assert staging.remove_staged(spark) == 1 and not list((tmp_path / "ebbline").iterdir())
+    finally:
+        staging._MADE[spark.sparkContext.applicationId] = made
+        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
