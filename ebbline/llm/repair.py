@@ -127,7 +127,10 @@ class Repair:
                     self._add(tops, cost + cut, edits + "K", read(stack, role[0]))
                 for initial in MADE_ROLES:
                     self._add(tops, cost + costs.rerole + cut, edits + "R", read(stack, initial))
-        self.tops = tops
+        # The cheapest top can come to any other's place by two inserts, and delete a system turn
+        # that only the start could keep: what costs more than that beyond it never wins.
+        least = min(top[0] for top in tops.values()) + self.costs.delete + 2 * self.costs.insert
+        self.tops = {state: top for state, top in tops.items() if top[0] <= least}
         self.held.append((role, text, fault))
         if len(self.held) < self.look_at:
             return []
