@@ -3,8 +3,10 @@
 import json
 from collections.abc import Mapping
 
+from pyspark import SparkContext
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
+    GBTClassificationModel,
     GBTClassifier,
     LogisticRegression,
     RandomForestClassifier,
@@ -19,7 +21,7 @@ from ebbline.functions.expressions import flag
 from ebbline.operators.metrics import compare_models
 from ebbline.operators.splits import class_counts, class_weights
 from ebbline.plans.features_stage import AccountFeatures
-from ebbline.sources.staging import stage
+from ebbline.sources.staging import shared_folder, stage
 
 # The published parameters. Leaf penalties have no counterpart in Spark's trees.
 GBT_PRESETS = {
@@ -43,6 +45,10 @@ def training_frame(
     label = flag(F.col(schema.LABEL) == "Yes").alias("label")
     # Written once, in as many files as their size asks for: a fit reads its rows many times.
     rows = stage(rows.select("features", label, *keep).hint("rebalance"), "training")
+    # Boosting cuts its lineage there, which every task carries; without it, it grows by each tree.
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return class_weights(rows, "label", weight_mode), [fitted, assembler]
 
 
@@ -81,6 +87,14 @@ def gbt(preset: str = "a", **changes) -> GBTClassifier:
     return _columns(GBTClassifier(**{**GBT_PRESETS[preset], "seed": SEED, **changes}))
 
 
+def first_rounds(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """What boosting would have ended with after ``n`` rounds: its first ``n`` trees."""
+    java = model._java_obj
+    kind = SparkContext._active_spark_context._jvm.org.apache.spark.ml.classification.GBTClassificationModel
+    cut = GBTClassificationModel(kind(f"{model.uid}_{n}", java.trees()[:n], java.treeWeights()[:n]))
+    return cut.setFeaturesCol(model.getFeaturesCol())
+
+
 def fit_gbt(df: DataFrame, preset: str = "a", chain="notebook", **changes) -> PipelineModel:
     """Boosted trees with one of the two parameter sets (M3, M4)."""
     features = AccountFeatures(chain=chain)

@@ -18,7 +18,7 @@ from ebbline.operators.ordered import ranks, running_totals
 from ebbline.operators.splits import stratified_folds
 from ebbline.plans.features_stage import AccountFeatures
 from ebbline.plans.ledger import Ledger, run_all
-from ebbline.plans.models import SEED, WEIGHT_MODES, gbt, training_frame
+from ebbline.plans.models import SEED, WEIGHT_MODES, first_rounds, gbt, training_frame
 from ebbline.sources.staging import new_path
 
 # The searched ranges, as (kind, low, high) or a list of choices. Leaf
@@ -112,7 +112,8 @@ def cross_validate(
     ``fold_<i>``), the refitted pipeline and the best point. ``path`` names a ledger: every point
     and fold is written there as it ends, and a search started again, after its driver was lost
     or with more points, fits only what isn't there. Kept results count only for the same rows,
-    folds and fixed parameters.
+    folds and fixed parameters. Points that differ in their rounds alone share a fit: a shorter
+    boosting is the beginning of a longer one.
     """
     spark, base = df.sparkSession, base or {}
     folded = stratified_folds(df, schema.LABEL, schema.ID, k, SEED).where("fold is not null")
@@ -128,17 +129,25 @@ def cross_validate(
     # Exact, and not by bins of the scores.
     evaluator = BinaryClassificationEvaluator(labelCol="label", numBins=0)
 
-    def fitted(point: dict, part: DataFrame):
-        return gbt(preset, **{name: _value(name, v) for name, v in {**base, **point}.items()}).fit(part)
-
-    def run(trial: int, fold: int) -> None:
-        model = fitted(points[trial], rows.where(F.col("fold") != fold))
-        auc = evaluator.evaluate(model.transform(rows.where(F.col("fold") == fold)))
-        row = (study, trial, fold, named[trial], job, float(auc))
-        ledger.add(f"{study}-{trial}-{fold}-{zlib.crc32((job + named[trial]).encode()):08x}", spark.createDataFrame([row], _TRIAL))
-
-    done = known()
-    run_all(spark, run, [(i, f) for i, p in enumerate(named) for f in range(k) if (p, f) not in done], parallelism)
+    estimators = [gbt(preset, **{name: _value(name, v) for name, v in {**base, **p}.items()}) for p in points]
+
+    def run(trials: list[int], fold: int) -> None:
+        # The first has the most rounds.
+        model = estimators[trials[0]].fit(rows.where(F.col("fold") != fold))
+        part = rows.where(F.col("fold") == fold)
+        for trial in trials:
+            own = first_rounds(model, estimators[trial].getMaxIter())
+            row = (study, trial, fold, named[trial], job, float(evaluator.evaluate(own.transform(part))))
+            ledger.add(f"{study}-{trial}-{fold}-{zlib.crc32((job + named[trial]).encode()):08x}", spark.createDataFrame([row], _TRIAL))
+
+    done, shared = known(), {}
+    # The longest fits first, so that none is left to run alone.
+    for i in sorted(range(len(points)), key=lambda i: -estimators[i].getMaxIter() * estimators[i].getMaxDepth()):
+        others = json.dumps({name: v for name, v in points[i].items() if name != "maxIter"}, sort_keys=True)
+        for f in range(k):
+            if (named[i], f) not in done:
+                shared.setdefault((others, f), []).append(i)
+    run_all(spark, run, [(trials, f) for (_, f), trials in shared.items()], parallelism)
     done = known()
     results, means = [], []
     for i, p in enumerate(named):
@@ -148,7 +157,7 @@ def cross_validate(
     kinds = "".join(f", fold_{f} double" for f in range(k))
     trials = spark.createDataFrame(results, f"study string, trial int, params string, score double, std double{kinds}")
     best = max(range(len(points)), key=lambda i: (means[i], -i))
-    return rank_trials(trials), PipelineModel([*stages, fitted(points[best], rows)]), points[best]
+    return rank_trials(trials), PipelineModel([*stages, estimators[best].fit(rows)]), points[best]
 
 
 def random_search(df, space=None, n_iter=None, k=5, seed=SEED, preset="a", **options):

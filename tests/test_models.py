@@ -1,4 +1,5 @@
 import pytest
+from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import functions as F
 
 from checks.queries import accounts as derive
@@ -240,3 +241,29 @@ def test_saved_pipeline_with_a_code_table(spark, parts, tmp_path, monkeypatch):
     loaded = prepared.load_pipeline(str(tmp_path), "forest")
     one, two = (models.score(parts[1], m, "m").select("id", "score") for m in (model, loaded))
     assert one.exceptAll(two).count() == 0 and loaded.stages[0].codes is not None
+
+
+def test_first_rounds_are_a_shorter_boosting(parts):
+    rows, _ = models.training_frame(parts[0].limit(2000), features_stage.AccountFeatures(), "ratio")
+    long, short = (models.gbt("a", maxIter=n, maxDepth=2).fit(rows) for n in (6, 4))
+    cut = models.first_rounds(long, 4)
+    assert [t.toDebugString.split("\n")[1:] for t in cut.trees] == [t.toDebugString.split("\n")[1:] for t in short.trees]
+    assert cut.treeWeights == short.treeWeights
+    scores = [sorted(r[0][1] for r in m.transform(rows).select("probability").collect()) for m in (cut, short)]
+    assert scores[0] == scores[1]
+
+
+def test_points_that_differ_in_rounds_share_a_fit(parts, monkeypatch):
+    fits = []
+    fit = GBTClassifier.fit
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, rows: fits.append(self.getMaxIter()) or fit(self, rows))
+    grid = {"maxDepth": [1, 2], "maxIter": [2, 4]}
+    trials, model, best = tuning.grid_search(parts[0].limit(2000), grid, k=2)
+    assert trials.count() == 4 and model.stages[-1].getNumTrees == best["maxIter"]
+    # Two depths on two folds, and the best again on all rows.
+    assert sorted(fits[:-1]) == [4] * 4 and fits[-1] == best["maxIter"]
+
+
+def test_boosting_has_a_folder_to_cut_its_lineage(spark, parts):
+    models.training_frame(parts[0].limit(100), features_stage.AccountFeatures())
+    assert spark.sparkContext.getCheckpointDir()
