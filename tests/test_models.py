@@ -2,6 +2,7 @@ import pytest
 from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import functions as F
 
+from checks import queries
 from checks.queries import accounts as derive
 from ebbline import schema
 from ebbline.operators import curves, importance, metrics, splits
@@ -9,6 +10,7 @@ from ebbline.plans import features_stage, folds, ledger, models, preparation, tu
 from ebbline.sources import accounts, prepared, staging
 from ebbline.sources.accounts import write_accounts_csv
 from ebbline.streaming import scoring
+from tests.conftest import FOLDER
 
 LARGE = "/root/testdata/sf0.1"
 
@@ -267,3 +269,18 @@ def test_points_that_differ_in_rounds_share_a_fit(parts, monkeypatch):
 def test_boosting_has_a_folder_to_cut_its_lineage(spark, parts):
     models.training_frame(parts[0].limit(100), features_stage.AccountFeatures())
     assert spark.sparkContext.getCheckpointDir()
+
+
+def test_queries_fit_only_what_they_score(spark, monkeypatch):
+    asked = []
+    for name in queries.FITS:
+        fit = models.fit_forest if name == "forest" else models.fit_logistic
+        small = {"trees": 2, "depth": 2} if name == "forest" else {"max_iter": 2}
+        monkeypatch.setitem(queries.FITS, name, lambda rows, n=name, f=fit, s=small: asked.append(n) or f(rows, **s))
+    monkeypatch.setattr(queries, "FITTED", {})
+    queries.fitted_models(spark, FOLDER, "logistic")
+    assert asked == ["logistic"]
+    queries.fitted_models(spark, FOLDER, "logistic", "forest")
+    assert asked == ["logistic", "forest"]
+    assert list(queries.fitted_models(spark, FOLDER)) == list(queries.FITS)
+    assert sorted(asked) == sorted(queries.FITS)
