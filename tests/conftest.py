@@ -17,6 +17,8 @@ def spark():
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        # A test points spark.checkpoint.dir elsewhere, which a running session refuses otherwise.
+        .config("spark.sql.legacy.setCommandRejectsSparkCoreConfs", "false")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("OFF")
