@@ -1,17 +1,19 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model has order four over the 64 symbols of ``symbols``. Its counts come from every trusted
-document: each task sums its own, the sums meet sharded by n-gram. Each level's discounts,
-context totals and lower-order probabilities are joins of count tables on n-grams and contexts.
-A probability for every possible four symbols is at most 2**24 numbers, which bounds what
-scoring broadcasts whatever the corpus (a join of every document's n-grams with the counts would
-move about ten times the input). Thresholds are an upper quantile, per language and length, of
-trusted documents that the model hasn't seen.
+The model has order five over the bytes of a text (``symbols.BYTES``), none folded. Its counts come
+from every trusted document: each task sums its own, the sums meet sharded by n-gram. Each level's
+discounts, context totals and lower-order probabilities are joins of count tables on n-grams and
+contexts, and so is scoring: n-grams of the documents, each once for a block of some megabytes of
+text, are joined with the levels of the model, and their bits return to their block. Only the
+discounts, three numbers a level, come to the driver, and no part of the model is broadcast.
+Thresholds are an upper quantile, per language and length, of trusted documents that the model
+hasn't seen.
 """
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +38,16 @@ MIDDLE, HIGH, REACH = 0.5, 0.95, 6.0
 SLACK_BITS = 6.0
 # Symbols whose n-grams a task sorts together.
 FLUSH = 1 << 21
-# First symbols whose part of the highest level the driver holds at once.
-FIRST_SYMBOLS = 8
+# Texts whose n-grams are looked up together: a block ends with the text that reaches so many bytes,
+# or with the run of texts that reaches so many different n-grams.
+BLOCK = 1 << 25
+BLOCK_GRAMS = 1 << 20
+# What a text counts beside its bytes.
+BLOCK_ROW = 64
+# Documents wait and travel packed, as their text is most of what scoring moves.
+PACK_LEVEL = 9
+# N-grams handed to Spark at a time.
+BATCH = 100_000
 
 
 def fold(id_column: str):
@@ -45,35 +55,33 @@ def fold(id_column: str):
     return F.pmod(F.xxhash64(F.col(id_column), F.lit(SEED)), F.lit(FOLDS))
 
 
-def count_grams(texts: DataFrame) -> DataFrame:
-    """``gram`` (24 bits), ``c``: how often four symbols follow each other."""
+def _batches(columns: dict[str, np.ndarray]):
+    n = len(next(iter(columns.values())))
+    for start in range(0, n, BATCH):
+        yield pa.RecordBatch.from_arrays([pa.array(x[start : start + BATCH], pa.int64()) for x in columns.values()], list(columns))
+
+
+def count_grams(texts: DataFrame, alphabet: S.Alphabet = S.FOLDED) -> DataFrame:
+    """``gram``, ``c``: how often ``order`` symbols follow each other."""
 
     def rows(batches):
-        total, held, size = np.zeros(S.SIZE**S.ORDER, np.int64), [], 0
+        held, size = [], 0
 
-        def add():
+        def counted():
             values, counts = np.unique(np.concatenate(held), return_counts=True)
-            total[values] += counts
+            return _batches({"gram": values, "c": counts})
 
         for batch in batches:
-            for symbols, bounds in S.runs(batch.column(0)):
-                found = S.grams(symbols)
-                # Runs of texts: four symbols never reach across two of them.
-                inside = np.ones(len(found), bool)
-                for i in range(1, S.ORDER):
-                    inside[bounds[1:-1] - i] = False
-                held.append(found[inside])
+            for found in S.inner_grams(batch.column(0), alphabet):
+                held.append(found)
                 size += len(found)
                 if size >= FLUSH:
-                    add()
+                    yield from counted()
                     held, size = [], 0
         if size:
-            add()
-        seen = np.flatnonzero(total)
-        for part in np.array_split(seen, len(seen) // 100_000 + 1):
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(total[part], pa.int64())], ["gram", "c"])
+            yield from counted()
 
-    return texts.mapInArrow(rows, "gram int, c bigint").groupBy("gram").agg(F.sum("c").alias("c"))
+    return texts.mapInArrow(rows, "gram bigint, c bigint").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
 def discounts(counts: DataFrame) -> list[float]:
@@ -87,29 +95,29 @@ def discounts(counts: DataFrame) -> list[float]:
     return [min(max(d, 0.05 * (k + 1)), 0.95 * (k + 1)) for k, d in enumerate(raw)]
 
 
-def kneser_ney(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-    """Per level from one symbol to ``ORDER``: (``gram``, ``p``) seen and (``context``, ``rest``).
+def kneser_ney(counts: DataFrame, alphabet: S.Alphabet = S.FOLDED) -> list[tuple[DataFrame, DataFrame]]:
+    """Per level from one symbol to ``order``: (``gram``, ``p``) seen and (``context``, ``rest``).
 
     ``rest`` is the weight that a context leaves to the level below. Levels under the highest
     count in how many different symbols' company an n-gram was seen.
     """
     tables = [counts]
-    for order in range(S.ORDER - 1, 0, -1):
-        shorter = F.col("gram").bitwiseAND(F.lit((1 << (S.BITS * order)) - 1))
+    for order in range(alphabet.order - 1, 0, -1):
+        shorter = _tail("gram", order, alphabet)
         tables.append(stage(tables[-1].groupBy(shorter.alias("gram")).agg(F.count(F.lit(1)).alias("c")), "grams"))
     levels, below = [], None
     for own in reversed(tables):
         d = discounts(own)
         cut = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-        placed = own.withColumn("context", F.shiftright("gram", S.BITS)).withColumn("cut", cut)
+        placed = own.withColumn("context", F.shiftright("gram", alphabet.bits)).withColumn("cut", cut)
         contexts = placed.groupBy("context").agg(F.sum("c").alias("total"), (F.sum("cut") / F.sum("c")).alias("rest"))
+        contexts = stage(contexts, "contexts")
         joined = placed.join(contexts, "context")
         kept = (F.col("c") - F.col("cut")) / F.col("total")
         if below is None:
-            joined = joined.withColumn("p", kept + F.col("rest") / S.SIZE)
+            joined = joined.withColumn("p", kept + F.col("rest") / alphabet.size)
         else:
-            order = len(levels)
-            tail = F.col("gram").bitwiseAND(F.lit((1 << (S.BITS * order)) - 1))
+            tail = _tail("gram", len(levels), alphabet)
             lower = below.select(F.col("gram").alias("tail"), F.col("p").alias("lower"))
             joined = joined.withColumn("tail", tail).join(lower, "tail")
             joined = joined.withColumn("p", kept + F.col("rest") * F.col("lower"))
@@ -118,62 +126,112 @@ def kneser_ney(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
     return levels
 
 
-def probabilities(levels: list[tuple[DataFrame, DataFrame]]) -> np.ndarray:
-    """Bits of information of the last of every four symbols: 2**24 numbers, whatever the corpus."""
-    p = np.full(1, 1.0 / S.SIZE)
-    for order, (seen, contexts) in enumerate(levels[: S.ORDER - 1], 1):
-        rest = _rest(contexts, order)
-        rows = seen.toArrow()
-        gram, own = rows["gram"].to_numpy(), rows["p"].to_numpy()
-        if order == 1:
-            p = np.full(S.SIZE, rest[0] / S.SIZE)
-        else:
-            # The level below, for every context: its grams are the tails of this level's.
-            p = (rest.reshape(S.SIZE, -1)[:, :, None] * p.reshape(1, -1, S.SIZE)).reshape(-1)
-        p[gram] = own
-    # The highest level by its first symbol: the driver holds no second table of its size, and
-    # takes that level's rows by parts too.
+def _tail(gram: str, order: int, alphabet: S.Alphabet):
+    return F.col(gram).bitwiseAND(F.lit((1 << (alphabet.bits * order)) - 1))
+
+
+def look_up(wanted: DataFrame, levels: list[tuple[DataFrame, DataFrame]], alphabet: S.Alphabet = S.FOLDED) -> DataFrame:
+    """``gram`` and its ``p``, for different grams of as many symbols as there are ``levels``.
+
+    What a level hasn't seen has the weight that its context leaves, all of it for an unseen
+    context, times the probability of its tail on the level below.
+    """
     seen, contexts = levels[-1]
-    rest = _rest(contexts, S.ORDER)
-    bits = np.empty(S.SIZE**S.ORDER, np.float32)
-    size = len(bits) // S.SIZE
-    for start in range(0, S.SIZE, FIRST_SYMBOLS):
-        low, high = start * size, min(start + FIRST_SYMBOLS, S.SIZE) * size
-        rows = seen.where((F.col("gram") >= low) & (F.col("gram") < high)).toArrow()
-        gram, own = rows["gram"].to_numpy() - low, rows["p"].to_numpy()
-        ahead = rest.reshape(S.SIZE, -1)[start : start + FIRST_SYMBOLS, :, None]
-        part = (ahead * p.reshape(1, -1, S.SIZE)).reshape(-1)
-        part[gram] = own
-        bits[low:high] = -np.log2(part)
+    met = stage(wanted.join(seen, "gram", "left"), "met")
+    order = len(levels) - 1
+    unseen = met.where("p is null").select(
+        "gram", F.shiftright("gram", alphabet.bits).alias("context"), _tail("gram", order, alphabet).alias("tail")
+    )
+    unseen = unseen.join(contexts, "context", "left")
+    if order:
+        lower = look_up(unseen.select(F.col("tail").alias("gram")).distinct(), levels[:-1], alphabet)
+        unseen = unseen.join(lower.select(F.col("gram").alias("tail"), F.col("p").alias("lower")), "tail")
+    else:
+        unseen = unseen.withColumn("lower", F.lit(1.0 / alphabet.size))
+    p = F.coalesce("rest", F.lit(1.0)) * F.col("lower")
+    return met.where("p is not null").unionByName(unseen.select("gram", p.alias("p")))
+
+
+def probabilities(levels: list[tuple[DataFrame, DataFrame]], alphabet: S.Alphabet = S.FOLDED) -> np.ndarray:
+    """Bits of information of the last symbol of every possible gram, in order of their codes.
+
+    For checks of a model over few symbols; scoring looks up the grams that documents hold.
+    """
+    session = levels[-1][0].sparkSession
+    wanted = session.range(1 << (alphabet.bits * len(levels))).withColumnRenamed("id", "gram")
+    found = look_up(wanted, levels, alphabet).toArrow()
+    bits = np.empty(len(found), np.float32)
+    bits[found["gram"].to_numpy()] = -np.log2(found["p"].to_numpy())
     return bits
 
 
-def _rest(contexts: DataFrame, order: int) -> np.ndarray:
-    rest = np.ones(S.SIZE ** (order - 1))
-    rows = contexts.toArrow()
-    rest[rows["context"].to_numpy()] = rows["rest"].to_numpy()
-    return rest
+def in_blocks(docs: DataFrame, alphabet: S.Alphabet) -> DataFrame:
+    """A row for each block of consecutive documents: ``block``, ``packed`` documents, different ``grams``.
+
+    Staged, so that a document belongs to one block whatever is computed again.
+    """
+
+    def rows(batches):
+        task, n, held, grams, size = TaskContext.get().partitionId(), 0, [], [], 0
 
+        def block():
+            sink = pa.BufferOutputStream()
+            packing = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", PACK_LEVEL))
+            with pa.ipc.new_stream(sink, held[0].schema, options=packing) as writer:
+                for part in held:
+                    writer.write_batch(part)
+            columns = [pa.array([(task << 32) + n], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
+            columns.append(pa.ListArray.from_arrays(pa.array([0, len(grams[0])], pa.int32()), pa.array(grams[0], pa.int64())))
+            return pa.RecordBatch.from_arrays(columns, ["block", "packed", "grams"])
 
-def score(docs: DataFrame, model: Broadcast) -> DataFrame:
+        for batch in batches:
+            sizes = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64) + BLOCK_ROW
+            # Pieces of some megabytes, or of one text.
+            piece = (np.cumsum(sizes) - sizes) // min(FLUSH, BLOCK)
+            starts = np.flatnonzero(np.diff(piece, prepend=-1))
+            for start, end in zip(starts, [*starts[1:], len(sizes)]):
+                held.append(batch.slice(start, end - start))
+                own = [np.unique(found) for found in S.inner_grams(held[-1].column("text"), alphabet)]
+                grams = [np.unique(np.concatenate([*grams, *own]))]
+                size += int(sizes[start:end].sum())
+                if size >= BLOCK or len(grams[0]) >= BLOCK_GRAMS:
+                    yield block()
+                    n, held, grams, size = n + 1, [], [], 0
+        if held:
+            yield block()
+
+    return stage(docs.mapInArrow(rows, "block bigint, packed binary, grams array<bigint>"), "blocks")
+
+
+def score(docs: DataFrame, levels: list[tuple[DataFrame, DataFrame]], alphabet: S.Alphabet = S.BYTES) -> DataFrame:
     """``docs`` (doc_id, text, further columns) with ``n_symbols``, ``bits`` instead of text."""
     others = [c for c in docs.columns if c != "text"]
     kinds = [docs.schema[c] for c in others]
+    blocks = in_blocks(docs, alphabet)
+    asked = blocks.select(F.col("block").alias("asking"), F.explode("grams").alias("gram"))
+    found = stage(look_up(asked.select("gram").distinct(), levels, alphabet), "found")
+    known = asked.join(found.select("gram", (-F.log2("p")).cast("float").alias("bits")), "gram")
 
-    def rows(batches):
-        for batch in batches:
+    def rows(packed, known):
+        order = np.argsort(known["gram"].to_numpy())
+        grams, bits = known["gram"].to_numpy()[order], known["bits"].to_numpy()[order].astype(np.float64)
+        out = []
+        for part in pa.ipc.open_stream(packed["packed"][0].as_buffer()):
             counts, sums = [], []
-            for symbols, bounds in S.runs(batch.column("text")):
-                each = model.value[S.grams(symbols)].astype(np.float64)
-                total = np.concatenate([[0.0], np.cumsum(each)])
-                counts.append(np.diff(bounds) - S.ORDER + 1)
-                sums.append(total[bounds[1:] - S.ORDER + 1] - total[bounds[:-1]])
-            kept = [batch.column(c) for c in others]
-            kept += [pa.array(np.concatenate(x) if x else [], k) for x, k in ((counts, pa.int64()), (sums, pa.float64()))]
-            yield pa.RecordBatch.from_arrays(kept, [*others, "n_symbols", "bits"])
+            for symbols, bounds in S.runs(part.column("text"), alphabet):
+                # Grams across two texts may be found nowhere, and are in no text's sum.
+                at = np.minimum(np.searchsorted(grams, S.grams(symbols, alphabet.order, alphabet.bits)), len(grams) - 1)
+                total = np.concatenate([[0.0], np.cumsum(bits[at])])
+                counts.append(np.diff(bounds) - alphabet.order + 1)
+                sums.append(total[bounds[1:] - alphabet.order + 1] - total[bounds[:-1]])
+            kept = [part.column(c) for c in others]
+            kept += [pa.array(np.concatenate(x), k) for x, k in ((counts, pa.int64()), (sums, pa.float64()))]
+            out.append(pa.RecordBatch.from_arrays(kept, [*others, "n_symbols", "bits"]))
+        return pa.Table.from_batches(out)
 
     fields = ", ".join([f"`{k.name}` {k.dataType.simpleString()}" for k in kinds])
-    return docs.mapInArrow(rows, f"{fields}, n_symbols bigint, bits double")
+    both = blocks.select("block", "packed").groupBy("block").cogroup(known.groupBy("asking"))
+    return both.applyInArrow(rows, f"{fields}, n_symbols bigint, bits double")
 
 
 def judge_quality(
@@ -185,11 +243,11 @@ def judge_quality(
 ) -> DataFrame:
     """``doc_id``, ``lang``, ``perplexity``, ``threshold``, ``keep`` for every row of ``docs``.
 
-    ``labels`` (doc_id, quality) name trusted documents by quality 1. A limit, in bits a symbol, is
+    ``labels`` (doc_id, quality) name trusted documents by quality 1. A limit, in bits a byte, is
     the 1 - ``FALSE_DROP`` quantile of trusted held-out documents of the same language and length.
     Where those are fewer than ``ENOUGH``, it is the language's over all lengths, or, with too few
     of them and for null, that over all, either with ``SLACK_BITS`` over the root of the symbols
-    added. A text goes if its bits a symbol exceed its limit (perplexity above threshold), or if
+    added. A text goes if its bits a byte exceed its limit (perplexity above threshold), or if
     it is null, empty or white space. Rows that repeat an id are judged each by its own text; with no
     trusted text nothing but blank texts goes (null perplexity). Other columns are not looked at.
     """
@@ -203,14 +261,13 @@ def judge_quality(
     n = trusted.count()
     learned = trusted.where(fold("doc_id") != 0)
     learned = F.broadcast(learned) if n <= BROADCAST_IDS else learned
-    counts = stage(count_grams(plain.join(learned, "doc_id", "left_semi").select("text")), "grams")
+    counts = stage(count_grams(plain.join(learned, "doc_id", "left_semi").select("text"), S.BYTES), "grams")
     blank = ~F.col("text").rlike(r"\S")
     if not counts.head(1):
         none = F.lit(None).cast("double")
         return plain.select("doc_id", "lang", none.alias("perplexity"), none.alias("threshold"), (~blank).alias("keep"))
-    model = docs.sparkSession.sparkContext.broadcast(probabilities(kneser_ney(counts)))
-    scored = stage(score(plain.withColumn("blank", blank), model), "scores")
-    model.destroy()
+    levels = kneser_ney(counts, S.BYTES)
+    scored = stage(score(plain.withColumn("blank", blank), levels, S.BYTES), "scores")
     rate = F.col("bits") / F.col("n_symbols")
 
     held = scored.join(trusted.where(fold("doc_id") == 0), "doc_id", "left_semi").where("not blank")

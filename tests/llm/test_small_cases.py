@@ -1,5 +1,6 @@
 """Defined results for odd tables, and operators against plain Python on small fixtures."""
 
+import collections
 import hashlib
 import re
 import zlib
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ebbline.llm import ann, blocks, chat, decontaminate, jaccard, language, line_dedup, mixing, quality, token_files, toxicity
+from ebbline.llm import symbols as S
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, lost int, n int, key int, component string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -286,6 +288,69 @@ def test_kneser_ney_sums_to_one(spark):
     assert np.allclose((2.0 ** -bits.astype(float)).reshape(-1, 64).sum(axis=1), 1.0, atol=1e-3)
 
 
+def kneser_ney_bits(trusted, alphabet):
+    """A dictionary version of the model: the function gives a text's bits."""
+    n, edge, size = alphabet.order, alphabet.edge, alphabet.size
+    ends = lambda text: (edge,) * (n - 1) + tuple(text.encode()) + (edge,)
+    slices = lambda text: [ends(text)[i : i + n] for i in range(len(text.encode()) + 1)]
+    tables = [collections.Counter(g for text in trusted for g in slices(text))]
+    for _ in range(n - 1):
+        tables.insert(0, collections.Counter(g[1:] for g in tables[0]))
+    cuts = []
+    for table in tables:
+        n1, n2, n3, n4 = (sum(c == i for c in table.values()) for i in range(1, 5))
+        if not n1 or not n2:
+            cuts.append((0.5, 0.75, 0.9))
+            continue
+        y = n1 / (n1 + 2 * n2)
+        raw = [k - (k + 1) * y * b / a if a else k * y for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+        cuts.append([min(max(d, 0.05 * k), 0.95 * k) for k, d in enumerate(raw, 1)])
+    contexts = []
+    for table, cut in zip(tables, cuts):
+        sums = collections.defaultdict(lambda: [0, 0.0])
+        for g, c in table.items():
+            sums[g[:-1]][0] += c
+            sums[g[:-1]][1] += cut[min(c, 3) - 1]
+        contexts.append(sums)
+
+    def p(g):
+        if not g:
+            return 1 / size
+        table, cut, sums = tables[len(g) - 1], cuts[len(g) - 1], contexts[len(g) - 1]
+        if g[:-1] not in sums:
+            return p(g[1:])
+        total, left = sums[g[:-1]]
+        own = (table[g] - cut[min(table[g], 3) - 1]) / total if g in table else 0
+        return own + left / total * p(g[1:])
+
+    return lambda text: -sum(np.log2(p(g)) for g in slices(text))
+
+
+@pytest.mark.parametrize("block", [1 << 23, 300])
+def test_quality_bits_are_those_of_a_dictionary(spark, monkeypatch, block):
+    """Every n-gram of every text is joined with unfolded counts: letters 16 code points apart, capitals
+    and digits differ, and texts that repeat, are empty or span blocks have their whole sum."""
+    monkeypatch.setattr(quality, "BLOCK", block)
+    trusted = [said(i, 12) for i in range(30)] + ["АБВ абв 123", "Aa 19"]
+    texts = [*trusted, trusted[0], "", "РСТ рст 456", "aA 91", said(99, 200), "\x00\n🙂"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, "other"), (None, "none")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    counts = quality.count_grams(table.where(f"doc_id < {len(trusted)} and text <> 'other'").select("text"), S.BYTES)
+    got = quality.score(table, quality.kneser_ney(counts, S.BYTES), S.BYTES).collect()
+    bits = kneser_ney_bits(trusted, S.BYTES)
+    assert sorted((r["doc_id"] is None, r["doc_id"], r["n_symbols"]) for r in got if r["doc_id"] is not None) == sorted(
+        (False, i, len(t.encode()) + 1) for i, t in rows if i is not None
+    )
+    want = collections.defaultdict(list)
+    for i, t in rows:
+        want[i].append(bits(t))
+    found = collections.defaultdict(list)
+    for r in got:
+        found[r["doc_id"]].append(r["bits"])
+    assert all(np.allclose(sorted(found[i]), sorted(want[i]), rtol=1e-5) for i in want) and len(got) == len(rows)
+    assert bits("aA 91") > bits("Aa 19") + 5
+
+
 def test_language_uses_all_evidence(spark):
     texts = {"en": "the house and the garden are near the river", "de": "das haus und der garten sind nahe am fluss"}
     known = docs(spark, [(i, t + f" {i}", lang, "a") for i in range(30) for lang, t in texts.items()])
