@@ -10,6 +10,8 @@ Thresholds are an upper quantile, per language and length, of trusted documents
 hasn't seen.
 """
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbline.llm import symbols as S
-from ebbline.sources.staging import stage
+from ebbline.sources.staging import stage, stage_by
 
 SEED = 1
 FOLDS = 5
@@ -166,23 +168,30 @@ def probabilities(levels: list[tuple[DataFrame, DataFrame]], alphabet: S.Alphabe
 
 
 def in_blocks(docs: DataFrame, alphabet: S.Alphabet) -> DataFrame:
-    """A row for each block of consecutive documents: ``block``, ``packed`` documents, different ``grams``.
+    """Blocks of consecutive documents, as rows of some megabytes at most: ``block`` and either ``packed``,
+    some of its documents, or ``grams``, some of its different n-grams.
 
-    Staged, so that a document belongs to one block whatever is computed again.
+    Staged, so that a document belongs to one block whatever is computed again, and dealt by block,
+    so that the documents wait where the bits of their n-grams come to.
     """
 
     def rows(batches):
-        task, n, held, grams, size = TaskContext.get().partitionId(), 0, [], [], 0
+        task, n, grams, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def row(packed, grams):
+            columns = [pa.array([(task << 32) + n], pa.int64()), pa.array([packed], pa.binary()), pa.array([grams], pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(columns, ["block", "packed", "grams"])
 
-        def block():
+        def pack(part):
             sink = pa.BufferOutputStream()
             packing = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", PACK_LEVEL))
-            with pa.ipc.new_stream(sink, held[0].schema, options=packing) as writer:
-                for part in held:
-                    writer.write_batch(part)
-            columns = [pa.array([(task << 32) + n], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
-            columns.append(pa.ListArray.from_arrays(pa.array([0, len(grams[0])], pa.int32()), pa.array(grams[0], pa.int64())))
-            return pa.RecordBatch.from_arrays(columns, ["block", "packed", "grams"])
+            with pa.ipc.new_stream(sink, part.schema, options=packing) as writer:
+                writer.write_batch(part)
+            return sink.getvalue().to_pybytes()
+
+        def asked():
+            for start in range(0, len(grams[0]), BATCH):
+                yield row(None, grams[0][start : start + BATCH])
 
         for batch in batches:
             sizes = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64) + BLOCK_ROW
@@ -190,17 +199,18 @@ def in_blocks(docs: DataFrame, alphabet: S.Alphabet) -> DataFrame:
             piece = (np.cumsum(sizes) - sizes) // min(FLUSH, BLOCK)
             starts = np.flatnonzero(np.diff(piece, prepend=-1))
             for start, end in zip(starts, [*starts[1:], len(sizes)]):
-                held.append(batch.slice(start, end - start))
-                own = [np.unique(found) for found in S.inner_grams(held[-1].column("text"), alphabet)]
+                part = batch.slice(start, end - start)
+                yield row(pack(part), None)
+                own = [np.unique(found) for found in S.inner_grams(part.column("text"), alphabet)]
                 grams = [np.unique(np.concatenate([*grams, *own]))]
                 size += int(sizes[start:end].sum())
                 if size >= BLOCK or len(grams[0]) >= BLOCK_GRAMS:
-                    yield block()
-                    n, held, grams, size = n + 1, [], [], 0
-        if held:
-            yield block()
+                    yield from asked()
+                    n, grams, size = n + 1, [], 0
+        if size:
+            yield from asked()
 
-    return stage(docs.mapInArrow(rows, "block bigint, packed binary, grams array<bigint>"), "blocks")
+    return stage_by(docs.mapInArrow(rows, "block bigint, packed binary, grams array<bigint>"), "block", "blocks")
 
 
 def score(docs: DataFrame, levels: list[tuple[DataFrame, DataFrame]], alphabet: S.Alphabet = S.BYTES) -> DataFrame:
@@ -216,7 +226,7 @@ def score(docs: DataFrame, levels: list[tuple[DataFrame, DataFrame]], alphabet:
         order = np.argsort(known["gram"].to_numpy())
         grams, bits = known["gram"].to_numpy()[order], known["bits"].to_numpy()[order].astype(np.float64)
         out = []
-        for part in pa.ipc.open_stream(packed["packed"][0].as_buffer()):
+        for part in itertools.chain.from_iterable(pa.ipc.open_stream(x.as_buffer()) for x in packed["packed"]):
             counts, sums = [], []
             for symbols, bounds in S.runs(part.column("text"), alphabet):
                 # Grams across two texts may be found nowhere, and are in no text's sum.
@@ -230,7 +240,7 @@ def score(docs: DataFrame, levels: list[tuple[DataFrame, DataFrame]], alphabet:
         return pa.Table.from_batches(out)
 
     fields = ", ".join([f"`{k.name}` {k.dataType.simpleString()}" for k in kinds])
-    both = blocks.select("block", "packed").groupBy("block").cogroup(known.groupBy("asking"))
+    both = blocks.where("packed is not null").select("block", "packed").groupBy("block").cogroup(known.groupBy("asking"))
     return both.applyInArrow(rows, f"{fields}, n_symbols bigint, bits double")
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 # Largest side handed out as a broadcast, in rows of a staged (hence counted) table.
 MAX_BROADCAST_ROWS = 100_000
+# Spark's own limit.
+MAX_BUCKETS = 100_000
 # Ways that rows of hot keys go when the others are shuffled.
 SPREAD = 1 << 20
 
@@ -65,6 +67,19 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_by(df: DataFrame, key: str, name: str = "stage") -> DataFrame:
+    """Like ``stage``, in buckets of ``key``: grouped or joined by it, the rows are not shuffled again."""
+    spark = df.sparkSession
+    table = f"ebbline_{name}_{uuid.uuid4().hex}"
+    # As many as there would be partitions of the shuffle.
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_BUCKETS)
+    # Spark writes buckets to tables alone; the files stay when the table's name is given up.
+    df.write.format("parquet").bucketBy(buckets, key).option("path", new_path(spark, name)).saveAsTable(table)
+    staged = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return staged
+
+
 def attach(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "inner", size: str | None = None) -> DataFrame:
     """Join per-key rows of a *staged* table to ``df`` without moving a hot key (inner or left).
 

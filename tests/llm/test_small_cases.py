@@ -326,6 +326,21 @@ def kneser_ney_bits(trusted, alphabet):
     return lambda text: -sum(np.log2(p(g)) for g in slices(text))
 
 
+def test_quality_documents_wait_for_their_bits(spark, monkeypatch):
+    """Documents are written once, in small rows, and only the bits of their n-grams are shuffled to them."""
+    monkeypatch.setattr(quality, "FLUSH", 2000)
+    monkeypatch.setattr(quality, "BATCH", 500)
+    table = spark.createDataFrame([(i, said(i, 40)) for i in range(60)], "doc_id bigint, text string").coalesce(1)
+    levels = quality.kneser_ney(quality.count_grams(table.select("text"), S.BYTES), S.BYTES)
+    plan = quality.score(table, levels, S.BYTES)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(asking" in plan and "hashpartitioning(block" not in plan
+    blocks = quality.in_blocks(table, S.BYTES)
+    assert blocks.select("block").distinct().count() == 1 and blocks.where("packed is not null").count() > 5
+    assert blocks.selectExpr("max(size(grams))").first()[0] == 500
+    grams = [g for r in blocks.where("grams is not null").collect() for g in r["grams"]]
+    assert len(grams) == len(set(grams)) and not spark.catalog.listTables()
+
+
 @pytest.mark.parametrize("block", [1 << 23, 300])
 def test_quality_bits_are_those_of_a_dictionary(spark, monkeypatch, block):
     """Every n-gram of every text is joined with unfolded counts: letters 16 code points apart, capitals
