@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbline.llm import words as W
-from ebbline.llm.sharing import opened, share
+from ebbline.llm.sharing import opened, share, tidied
 from ebbline.sources.staging import stage
 
 ITEMS = 20_000
@@ -102,7 +102,7 @@ def document_frequency(texts: DataFrame, known: np.ndarray) -> np.ndarray:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["at", "c"])
 
-    counted = texts.mapInArrow(rows, "at bigint, c bigint").groupBy("at").agg(F.sum("c").alias("c"))
+    counted = texts.mapInArrow(tidied(rows), "at bigint, c bigint").groupBy("at").agg(F.sum("c").alias("c"))
     out = np.zeros(len(known), np.int64)
     found = counted.toPandas()  # at most one row per n-gram of the block
     shared.destroy()
@@ -224,6 +224,6 @@ def _find(plain: DataFrame, items: Items, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     fields = "doc_id bigint, item_id bigint, score double, end_word bigint, n_words bigint"
-    found = stage(plain.mapInArrow(rows, fields), "found")
+    found = stage(plain.mapInArrow(tidied(rows), fields), "found")
     shared.destroy()
     return found

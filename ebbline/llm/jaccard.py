@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from ebbline.llm import words as W
 from ebbline.llm.components import components
+from ebbline.llm.sharing import tidied
 from ebbline.sources.staging import stage
 
 # The ordering table: slots by leading hash bits, and the document counts that raise a level.
@@ -129,7 +130,7 @@ def common_levels(texts: DataFrame, width: int, ranges: int) -> np.ndarray:
         np.maximum.at(table, slots - (part << (SLOT_BITS - bits)), found)
         return pa.table({"part": pa.array([part], pa.int32()), "levels": pa.array([zlib.compress(table.tobytes(), 1)], pa.binary())})
 
-    counted = texts.mapInArrow(count, "part int, packed binary")
+    counted = texts.mapInArrow(tidied(count), "part int, packed binary")
     levels = counted.groupBy("part").applyInArrow(level, "part int, levels binary")
     table = np.zeros(1 << SLOT_BITS, np.uint8)
     step = 1 << (SLOT_BITS - bits)
@@ -181,7 +182,7 @@ def _set_rows(docs: DataFrame, table: Broadcast, width: int, num: int, den: int)
                 ["id", "n", "mark_a", "mark_b", "own", "keys", "sketch", "members"],
             )
 
-    return docs.mapInArrow(rows, _SETS)
+    return docs.mapInArrow(tidied(rows), _SETS)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -201,7 +202,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     left = members.select(F.col("id").alias("u"), F.col("members").alias("members_u"))
     right = members.select(F.col("id").alias("v"), F.col("members").alias("members_v"))
     both = pairs.join(left, "u").join(right, "v")
-    return both.select("u", "v", "members_u", "members_v").mapInArrow(compare, "u bigint, v bigint")
+    return both.select("u", "v", "members_u", "members_v").mapInArrow(tidied(compare), "u bigint, v bigint")
 
 
 def _left_out(n: int, num: int, den: int) -> int:
@@ -235,7 +236,7 @@ def _light_pairs(light: DataFrame, num: int, den: int) -> DataFrame:
                 ["id", "n", "shared", "key"],
             )
 
-    found = light.select("id", "members").mapInArrow(rows, "id bigint, n bigint, shared bigint, key bigint")
+    found = light.select("id", "members").mapInArrow(tidied(rows), "id bigint, n bigint, shared bigint, key bigint")
     smallest = found.groupBy("key", "shared").agg(F.min(F.struct("n", "id")).alias("low"), F.count(F.lit(1)).alias("c"))
     met = found.join(smallest.where("c > 1"), ["key", "shared"])
     enough = F.lit(den) * F.col("shared") >= F.lit(num) * (F.col("n") + F.col("low.n") - F.col("shared"))
@@ -315,7 +316,7 @@ def _blocked_pairs(entries: DataFrame, num: int, den: int, first_only: bool) ->
 
     dealt = entries.repartition("key", "cell").sortWithinPartitions("key", "cell")
     columns = ["key", "cell", "block", "id", "n", "at", "kind", "sketch"]
-    found = dealt.select(columns).mapInArrow(rows, "u bigint, v bigint")
+    found = dealt.select(columns).mapInArrow(tidied(rows), "u bigint, v bigint")
     if first_only:
         return found.groupBy("u").agg(F.min("v").alias("v")).select("u", "v")
     return found.distinct()

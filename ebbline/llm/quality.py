@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbline.llm import symbols as S
+from ebbline.llm.sharing import let_go_in_worker, tidied
 from ebbline.sources.staging import stage, stage_by
 
 SEED = 1
@@ -67,6 +68,7 @@ def count_grams(texts: DataFrame, alphabet: S.Alphabet = S.FOLDED) -> DataFrame:
     """``gram``, ``c``: how often ``order`` symbols follow each other."""
 
     def rows(batches):
+        let_go_in_worker()
         held, size = [], 0
 
         def counted():
@@ -83,7 +85,7 @@ def count_grams(texts: DataFrame, alphabet: S.Alphabet = S.FOLDED) -> DataFrame:
         if size:
             yield from counted()
 
-    return texts.mapInArrow(rows, "gram bigint, c bigint").groupBy("gram").agg(F.sum("c").alias("c"))
+    return texts.mapInArrow(tidied(rows), "gram bigint, c bigint").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
 def discounts(counts: DataFrame) -> list[float]:
@@ -176,6 +178,7 @@ def in_blocks(docs: DataFrame, alphabet: S.Alphabet) -> DataFrame:
     """
 
     def rows(batches):
+        let_go_in_worker()
         task, n, grams, size = TaskContext.get().partitionId(), 0, [], 0
 
         def row(packed, grams):
@@ -210,7 +213,7 @@ def in_blocks(docs: DataFrame, alphabet: S.Alphabet) -> DataFrame:
         if size:
             yield from asked()
 
-    return stage_by(docs.mapInArrow(rows, "block bigint, packed binary, grams array<bigint>"), "block", "blocks")
+    return stage_by(docs.mapInArrow(tidied(rows), "block bigint, packed binary, grams array<bigint>"), "block", "blocks")
 
 
 def score(docs: DataFrame, levels: list[tuple[DataFrame, DataFrame]], alphabet: S.Alphabet = S.BYTES) -> DataFrame:

@@ -1,5 +1,6 @@
 """Broadcast of objects whose classes the executors need not have."""
 
+import ctypes
 import pickle
 import sys
 from collections.abc import Callable
@@ -24,3 +25,26 @@ def kept_in_worker(name: str, make: Callable):
     if name not in kept:
         kept[name] = make()
     return kept[name]
+
+
+def let_go_in_worker() -> None:
+    """Forget what a Python worker keeps, at the beginning of work that needs its memory.
+
+    Spark hands a worker on from one operator of a session to the next.
+    """
+    sys.modules.pop("_kept_in_worker", None)
+
+
+def tidied(rows: Callable) -> Callable:
+    """``rows`` (of mapInArrow), after which its worker hands what was freed back to the system.
+
+    The C library keeps it otherwise, beside the memory of whatever runs next in that executor.
+    """
+
+    def run(batches):
+        yield from rows(batches)
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return run

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ebbline.llm import blocks
-from ebbline.llm.sharing import kept_in_worker
+from ebbline.llm.sharing import kept_in_worker, tidied
 
 SEGMENT_IDS = 1 << 18
 # Pieces whose ids a worker remembers: those between spaces or line ends, and the words and runs of
@@ -190,7 +190,7 @@ def write_token_files(
         if ids:
             yield row()
 
-    ordered.mapInArrow(segments, _SEGMENTS).write.parquet(path)
+    ordered.mapInArrow(tidied(segments), _SEGMENTS).write.parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -223,7 +223,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     rows = stored.select("shard", "before", "doc_ids", "lengths", "segment").mapInArrow(
-        documents, "shard int, doc_id bigint, start bigint, n_tokens bigint, ids binary, ids_crc32 bigint"
+        tidied(documents), "shard int, doc_id bigint, start bigint, n_tokens bigint, ids binary, ids_crc32 bigint"
     )
     placed = rows.join(F.broadcast(offsets), "shard")
     return placed.select("doc_id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "ids", "ids_crc32")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ebbline.llm import ann, blocks, chat, decontaminate, jaccard, language, line_dedup, mixing, quality, token_files, toxicity
+from ebbline.llm import ann, blocks, chat, decontaminate, jaccard, language, line_dedup, mixing, quality, sharing, token_files, toxicity
 from ebbline.llm import symbols as S
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, lost int, n int, key int, component string"
@@ -341,6 +341,19 @@ def test_quality_documents_wait_for_their_bits(spark, monkeypatch):
     assert len(grams) == len(set(grams)) and not spark.catalog.listTables()
 
 
+def test_quality_takes_workers_without_what_others_kept(spark, monkeypatch, tmp_path):
+    """A token writer's pieces don't stay in the workers that a later classifier runs in."""
+    sharing.kept_in_worker("pieces", lambda: 1)
+    sharing.let_go_in_worker()
+    assert sharing.kept_in_worker("pieces", lambda: 2) == 2
+    sharing.let_go_in_worker()
+    assert list(sharing.tidied(iter)([1, 2])) == [1, 2]
+    for name, work in {"count": lambda t: quality.count_grams(t.select("text"), S.BYTES), "blocks": lambda t: quality.in_blocks(t, S.BYTES)}.items():
+        monkeypatch.setattr(quality, "let_go_in_worker", (tmp_path / name).touch)
+        work(spark.createDataFrame([(1, "a text")], "doc_id bigint, text string")).collect()
+        assert (tmp_path / name).exists()
+
+
 @pytest.mark.parametrize("block", [1 << 23, 300])
 def test_quality_bits_are_those_of_a_dictionary(spark, monkeypatch, block):
     """Every n-gram of every text is joined with unfolded counts: letters 16 code points apart, capitals
