@@ -527,7 +527,8 @@ def importance_shares(spark, folder):
 
 
 def _train_test(spark, folder):
-    split = splits.stratified_split(accounts(spark, folder))
+    # Derived once and split once, each written: a split reads its rows three times, a fit and its scores theirs.
+    split = stage(splits.stratified_split(stage(accounts(spark, folder), "accounts")), "split")
     return split.where("split = 'train'"), split.where("split = 'test'")
 
 
@@ -540,11 +541,14 @@ FITS = {
 FITTED = {}
 
 
-def fitted_models(spark, folder, *names):
-    """The fitted pipelines, each saved by the first query that asks for it and loaded by all."""
+def fitted_models(spark, folder, *names, train=None):
+    """The fitted pipelines, each saved by the first query that asks for it and loaded by all.
+
+    ``train`` are the training rows, if the query has split them already.
+    """
     key = (spark.sparkContext.applicationId, folder)
     if key not in FITTED:
-        FITTED[key] = stage(_train_test(spark, folder)[0], "train"), new_path(spark, "models"), set()
+        FITTED[key] = train or _train_test(spark, folder)[0], new_path(spark, "models"), set()
     train, path, known = FITTED[key]
     names = names or tuple(FITS)
     missing = [(name,) for name in names if name not in known]
@@ -554,7 +558,8 @@ def fitted_models(spark, folder, *names):
 
 
 def _test_scores(spark, folder, name):
-    return models.score(_train_test(spark, folder)[1], fitted_models(spark, folder, name)[name], name)
+    train, test = _train_test(spark, folder)
+    return models.score(test, fitted_models(spark, folder, name, train=train)[name], name)
 
 
 @query
@@ -587,11 +592,11 @@ def saved_model_scores(spark, folder):
 def saved_model_same(spark, folder):
     """A model and the same after saving it again and loading it: rows, and rows of equal score."""
     loaded, path = fitted_models(spark, folder, "logistic", "gbt_a"), new_path(spark, "models")
-    out = None
+    rows, out = stage(accounts(spark, folder), "accounts"), None
     for name, model in loaded.items():
         prepared.save_pipeline(model, path, name)
-        again = models.score(accounts(spark, folder), prepared.load_pipeline(path, name), name)
-        first = models.score(accounts(spark, folder), model, name).select("id", F.col("score").alias("first"))
+        again = models.score(rows, prepared.load_pipeline(path, name), name)
+        first = models.score(rows, model, name).select("id", F.col("score").alias("first"))
         both = again.join(first, "id").groupBy("model").agg(
             F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("score") == F.col("first")).alias("n_same")
         )
@@ -601,26 +606,27 @@ def saved_model_same(spark, folder):
 
 @query
 def score_all_models(spark, folder):
-    return models.score_all(fitted_models(spark, folder), _train_test(spark, folder)[1])
+    train, test = _train_test(spark, folder)
+    return models.score_all(fitted_models(spark, folder, train=train), test)
 
 
-def _voted(spark, folder, rows):
-    scored = models.score_all(fitted_models(spark, folder), rows)
+def _voted(spark, folder, train, rows):
+    scored = models.score_all(fitted_models(spark, folder, train=train), rows)
     return scored.unionByName(models.soft_vote(scored))
 
 
 @query
 def ensemble_metrics(spark, folder):
-    return metrics.metrics(_voted(spark, folder, _train_test(spark, folder)[1]))
+    return metrics.metrics(_voted(spark, folder, *_train_test(spark, folder)))
 
 
 @query
 def model_report(spark, folder):
     """What must hold of every fitted model and of their vote, whatever the scores are."""
     train, test = _train_test(spark, folder)
-    scored = _voted(spark, folder, test)
+    scored = _voted(spark, folder, train, test)
     # On the rows that they were fitted on, models find the signal at any size.
-    learnt = curves.roc_auc(_voted(spark, folder, train)).select("model", (F.col("roc_auc") > 0.6).alias("learnt"))
+    learnt = curves.roc_auc(_voted(spark, folder, train, train)).select("model", (F.col("roc_auc") > 0.6).alias("learnt"))
     return scored.groupBy("model").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.sum("label").alias("n_positive"),
@@ -632,7 +638,7 @@ def model_report(spark, folder):
 @query
 def fit_and_evaluate(spark, folder):
     train, test = _train_test(spark, folder)
-    known = fitted_models(spark, folder)
+    known = fitted_models(spark, folder, train=train)
     return models.fit_and_evaluate({name: lambda rows, m=m: m for name, m in known.items()}, train, test)
 
 
@@ -675,7 +681,7 @@ def decisions_by_model(spark, folder):
 def model_folds(spark, folder):
     """All four models refitted in five folds: a row per model and fold."""
     # The longest fits first, so that none is left to run alone.
-    runs = folds.fold_runs(accounts(spark, folder), dict(reversed(FITS.items())), 5, parallelism=8)
+    runs = folds.fold_runs(stage(accounts(spark, folder), "accounts"), dict(reversed(FITS.items())), 5, parallelism=8)
     counted = runs.groupBy("model", "fold").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.sum("label").alias("n_positive"),
@@ -704,7 +710,7 @@ def _trial_report(trials, k):
 def random_search_small(spark, folder):
     """Five draws of the second preset on three folds (T2, small form), as published."""
     found, _, _ = tuning.random_search(
-        accounts(spark, folder), tuning.SPACE_B_SMALL, n_iter=5, k=3, preset="b", parallelism=8
+        stage(accounts(spark, folder), "accounts"), tuning.SPACE_B_SMALL, n_iter=5, k=3, preset="b", parallelism=8
     )
     return _trial_report(found, 3)
 
@@ -712,7 +718,7 @@ def random_search_small(spark, folder):
 @query
 def grid_search(spark, folder):
     """The published grid of eight points on three folds (T4)."""
-    found, _, _ = tuning.grid_search(accounts(spark, folder), parallelism=8)
+    found, _, _ = tuning.grid_search(stage(accounts(spark, folder), "accounts"), parallelism=8)
     return _trial_report(found, 3)
 
 

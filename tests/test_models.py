@@ -284,3 +284,22 @@ def test_queries_fit_only_what_they_score(spark, monkeypatch):
     assert asked == ["logistic", "forest"]
     assert list(queries.fitted_models(spark, FOLDER)) == list(queries.FITS)
     assert sorted(asked) == sorted(queries.FITS)
+
+
+def test_queries_derive_and_split_once(spark, monkeypatch, tmp_path):
+    folder, derived = str(tmp_path), []
+    # One customer comes twice, one has no key.
+    keys = [*range(80), 7, None]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey bigint").write.parquet(f"{folder}/customer.parquet")
+    orders = [(k % 60, 1000.0 * k) for k in range(200)]
+    spark.createDataFrame(orders, "o_custkey bigint, o_totalprice double").write.parquet(f"{folder}/orders.parquet")
+    monkeypatch.setattr(queries, "accounts", lambda s, f: derived.append(f) or derive(s, f))
+    monkeypatch.setattr(queries, "FITTED", {})
+    monkeypatch.setitem(queries.FITS, "logistic", lambda rows: models.fit_logistic(rows, max_iter=2))
+    scored = queries.decisions_by_model(spark, folder)
+    assert derived == [folder]
+    # What is scored was written with its part, and the given tables aren't read again.
+    assert not [f for f in scored.inputFiles() if folder in f]
+    split = splits.stratified_split(derive(spark, folder)).where("split = 'test'")
+    ids = sorted(str(r["id"]) for r in scored.select("id").collect())
+    assert ids == sorted(str(r[schema.ID]) for r in split.collect()) and ids
