@@ -83,8 +83,8 @@ def fit_forest(df: DataFrame, trees: int = 100, depth: int = 6, chain="notebook"
     return _fit(df, _columns(classifier), AccountFeatures(chain=chain), "balanced")
 
 
-def gbt(preset: str = "a", **changes) -> GBTClassifier:
-    return _columns(GBTClassifier(**{**GBT_PRESETS[preset], "seed": SEED, **changes}))
+def gbt(preset: str = "a", kind: type[GBTClassifier] = GBTClassifier, **changes) -> GBTClassifier:
+    return _columns(kind(**{**GBT_PRESETS[preset], "seed": SEED, **changes}))
 
 
 def first_rounds(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
@@ -96,7 +96,7 @@ def first_rounds(model: GBTClassificationModel, n: int) -> GBTClassificationMode
 
 
 def fit_gbt(df: DataFrame, preset: str = "a", chain="notebook", **changes) -> PipelineModel:
-    """Boosted trees with one of the two parameter sets (M3, M4)."""
+    """Boosted trees with one of the two parameter sets (M3, M4); ``kind`` is the estimator's class."""
     features = AccountFeatures(chain=chain)
     return _fit(df, gbt(preset, **changes), features, WEIGHT_MODES[preset])
 
