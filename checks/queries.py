@@ -700,6 +700,11 @@ def model_folds(spark, folder):
     return counted.join(scores, ["model", "fold"])
 
 
+def _fits_at_once(spark):
+    """A fit may be a single task, so there are as many as the session has slots."""
+    return max(8, spark.sparkContext.defaultParallelism)
+
+
 def _trial_report(trials, k):
     """What must hold of a search's trials: each has its folds' scores, their mean and their spread."""
     each = F.array(*[F.col(f"fold_{i}") for i in range(k)])
@@ -727,7 +732,7 @@ def random_search_small(spark, folder):
 @query
 def grid_search(spark, folder):
     """The published grid of eight points on three folds (T4)."""
-    found, _, _ = tuning.grid_search(stage(accounts(spark, folder), "accounts"), parallelism=8)
+    found, _, _ = tuning.grid_search(stage(accounts(spark, folder), "accounts"), parallelism=_fits_at_once(spark))
     return _trial_report(found, 3)
 
 

@@ -2,17 +2,19 @@
 
 Spark's own fit runs some jobs for every level of every tree, and adds each value of each row to
 its node by itself. Here the rows are binned once, in as many tasks as their files ask for, and
-counted a block at a time. Rows that make one block are boosted where they are, in one job.
+counted a block at a time. Rows that make one block are boosted where they are, in one job. More are
+dealt to several; a job a level adds up what they count, and the driver chooses the splits.
 """
 
 import json
+import pickle
 import sys
 import time
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkContext, cloudpickle
+from pyspark import SparkContext, StorageLevel, cloudpickle
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -25,9 +27,15 @@ from ebbline.sources.staging import new_path
 # What runs in tasks travels with them, as executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Rows that a task holds (some 50 bytes each), and those of them that are counted at a time.
-BLOCK_ROWS = 1 << 20
+# Rows that make one block alone (some 100 bytes each while they are read, then 50), those of a block
+# among others, and those that are counted at a time.
+ALONE_ROWS = 1 << 22
+BLOCK_ROWS = 1 << 19
 BATCH = 1 << 17
+# Rounds after which the rows' margins are made anew of all trees, which cuts their lineage.
+REPLAYED = 50
+# Blocks whose sums the driver adds itself.
+BLOCKS_AT_ONCE = 64
 # Features with few bins are counted together, as one code of at most so many values.
 MAX_CODES = 1 << 10
 # Bins of a feature, with which a code still is a number of 16 bits.
@@ -48,14 +56,18 @@ class BlockGBT(GBTClassifier):
 
     Without drawing rows or columns the trees are those of ``GBTClassifier``, to within rounding and
     the choice between splits of equal gain; drawn rows and columns follow the same law from another
-    generator. More rows than a block holds, and fits with a validation column, go to ``GBTClassifier``.
+    generator. Fits with a validation column go to ``GBTClassifier``. ``alone_rows`` are the rows
+    that one task holds: many fits at once take least time each in a task of its own, a single one
+    in several.
     """
 
+    alone_rows = None
+
     def _fit(self, dataset: DataFrame) -> GBTClassificationModel:
         if self.isDefined(self.validationIndicatorCol):
             return super()._fit(dataset)
         thresholds, meta = _bins(self, dataset)
-        if meta["rows"] > BLOCK_ROWS or max(map(len, thresholds)) >= MAX_BINS:
+        if max(map(len, thresholds)) >= MAX_BINS:
             return super()._fit(dataset)
         packing, law = Packing(thresholds), self._law(meta)
         given = dataset.select(
@@ -64,8 +76,14 @@ class BlockGBT(GBTClassifier):
             (F.col(self.getWeightCol()) if self.isDefined(self.weightCol) else F.lit(1)).cast("double").alias("w"),
         )
         binned = given.mapInArrow(packing.rows, ", ".join([*[f"c{g} int" for g in range(len(packing.groups))], "y double", "w double"]))
-        path = new_path(dataset.sparkSession, "boosted")
-        binned.repartition(1).mapInArrow(_boosting(packing, law), NODES).write.parquet(f"{path}/data")
+        path, kinds = new_path(dataset.sparkSession, "boosted"), to_arrow_schema(_parse_datatype_string(NODES))
+        if meta["rows"] <= (self.alone_rows or ALONE_ROWS):
+            nodes = binned.repartition(1).mapInArrow(_boosting(packing, law, kinds), NODES)
+        else:
+            trees = boost_over(binned.repartition(-(-meta["rows"] // BLOCK_ROWS)), packing, law)
+            grown = pa.Table.from_batches([_batch(i, tree, kinds) for i, tree in enumerate(trees)])
+            nodes = dataset.sparkSession.createDataFrame(grown, NODES)
+        nodes.write.parquet(f"{path}/data")
         return self._copyValues(_load(dataset.sparkSession, path, self, meta["features"]))
 
     def _law(self, meta: dict) -> dict:
@@ -181,12 +199,14 @@ class Packing:
         return out
 
 
-def _boosting(packing: Packing, law: dict) -> Callable:
-    kinds = to_arrow_schema(_parse_datatype_string(NODES))
+def _batch(i: int, tree: list[dict], kinds: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([{"treeID": i, "nodeData": node} for node in tree], kinds)
+
 
+def _boosting(packing: Packing, law: dict, kinds: pa.Schema) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, tree in enumerate(boost(Rows.read(batches, packing), packing, law)):
-            yield pa.RecordBatch.from_pylist([{"treeID": i, "nodeData": node} for node in tree], kinds)
+            yield _batch(i, tree, kinds)
 
     return run
 
@@ -194,8 +214,9 @@ def _boosting(packing: Packing, law: dict) -> Callable:
 class Rows:
     """Binned rows of one task, and where they stand in the boosting."""
 
-    def __init__(self, codes: np.ndarray, y: np.ndarray, w: np.ndarray):
-        self.codes, self.y, self.w, self.margin = codes, y, w, np.zeros(len(y))
+    def __init__(self, codes: np.ndarray, y: np.ndarray, w: np.ndarray, margin: np.ndarray | None = None):
+        self.codes, self.y, self.w = codes, y, w
+        self.margin = np.zeros(len(y)) if margin is None else margin.copy()
 
     @classmethod
     def read(cls, batches: Iterable[pa.RecordBatch], packing: Packing) -> "Rows":
@@ -207,32 +228,39 @@ class Rows:
         # A shuffle hands over its rows in any order; those that are equal here may change places.
         order = np.lexsort(columns[::-1])
         codes = np.array([c[order] for c in columns[:-2]], np.uint16).reshape(len(packing.groups), -1)
-        return cls(codes, columns[-2][order] * 2.0 - 1.0, columns[-1][order])
+        return cls(codes, (columns[-2][order] * 2 - 1).astype(np.int8), columns[-1][order])
 
     def begin(self, m: int, law: dict, part: int) -> None:
         # The first tree is fitted to the labels, the others to the gradient of the logistic loss.
-        self.residual = 4.0 * self.y / (1.0 + np.exp(2.0 * self.y * self.margin)) if m else self.y
+        self.residual = 4.0 * self.y / (1.0 + np.exp(2.0 * self.y * self.margin)) if m else self.y.astype(float)
         self.weighted, self.taken = self.w * self.residual, None
         if law["share"] < 1:
             self.taken = np.random.default_rng([law["seed"], m, part]).random(len(self.y)) < law["share"]
+        self.restart()
+
+    def restart(self) -> None:
         self.at, self.passed = np.zeros(len(self.y), np.int32), 0
 
-    def go(self, steps: list[dict]) -> None:
+    def go(self, packing: Packing, steps: list[dict]) -> None:
         """On to the node of each row, by the steps that it hasn't taken yet."""
         flat, n = self.codes.reshape(-1), len(self.y)
         for step in steps[self.passed :]:
+            group = np.array(packing.group)[step["feature"]] * n
+            right = np.zeros((len(group), max(packing.sizes)), bool)
+            for goes, i, cut in zip(right, step["feature"], step["cut"], strict=True):
+                goes[: packing.sizes[packing.group[i]]] = packing.bin_of(i) > cut
             for a in range(0, n, BATCH):
                 own = self.at[a : a + BATCH]
                 slot = step["slot"][own]
                 rows = np.flatnonzero(slot >= 0)
                 slot = slot[rows]
-                code = flat[step["group"][slot] * n + (rows + a)]
-                own[rows] = step["first"][slot] + step["right"][slot, code]
+                code = flat[group[slot] + (rows + a)]
+                own[rows] = step["first"][slot] + right[slot, code]
         self.passed = len(steps)
 
     def count(self, packing: Packing, steps: list[dict], ids: list[int], n_nodes: int) -> np.ndarray:
         """Rows, weights and weighted residuals of each of these nodes and each bin."""
-        self.go(steps)
+        self.go(packing, steps)
         slots = np.full(n_nodes, -1)
         slots[ids] = np.arange(len(ids))
         counted = [np.zeros((3, len(ids) * size)) for size in packing.sizes]
@@ -247,13 +275,15 @@ class Rows:
                     sums += np.bincount(index, values, len(sums))
         return packing.by_bin([c.reshape(3, len(ids), -1) for c in counted])
 
-    def end(self, steps: list[dict], predictions: np.ndarray, rate: float) -> np.ndarray:
+    def end(self, packing: Packing, steps: list[dict], predictions: np.ndarray, rate: float) -> np.ndarray:
         """Add a finished tree; the weighted squares of what it was fitted to, by node."""
-        self.go(steps)
+        self.add(packing, steps, predictions, rate)
         own = slice(None) if self.taken is None else self.taken
-        squares = np.bincount(self.at[own], (self.weighted * self.residual)[own], len(predictions))
+        return np.bincount(self.at[own], (self.weighted * self.residual)[own], len(predictions))
+
+    def add(self, packing: Packing, steps: list[dict], predictions: np.ndarray, rate: float) -> None:
+        self.go(packing, steps)
         self.margin += rate * predictions[self.at]
-        return squares
 
 
 def boost(rows: Rows, packing: Packing, law: dict) -> Iterator[list[dict]]:
@@ -261,8 +291,78 @@ def boost(rows: Rows, packing: Packing, law: dict) -> Iterator[list[dict]]:
     for m in range(law["rounds"]):
         rows.begin(m, law, 0)
         nodes, steps = grow(lambda *asked: rows.count(packing, *asked), packing, law, m)
-        squares = rows.end(steps, np.array([node["prediction"] for node in nodes]), law["rate"] if m else 1.0)
-        yield saved(nodes, squares)
+        yield saved(nodes, rows.end(packing, *added(nodes, steps, law, m)))
+
+
+def added(nodes: list[dict], steps: list[dict], law: dict, m: int) -> tuple:
+    """What adds a tree to the margins: its steps, predictions and weight."""
+    return steps, np.array([node["prediction"] for node in nodes]), law["rate"] if m else 1.0
+
+
+def boost_over(binned: DataFrame, packing: Packing, law: dict) -> list[list[dict]]:
+    """Like ``boost``, each partition of ``binned`` being a block that its tasks pass on, round by round."""
+    context = binned.sparkSession.sparkContext
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = Rows.read(batches, packing)
+        yield pa.RecordBatch.from_pydict({"block": pa.array([pickle.dumps((rows.codes, rows.y, rows.w, rows.margin), 5)], pa.binary())})
+
+    # A state is a block's rows with their margins, and the squares of the last tree.
+    def unpack(part, row):
+        return pickle.loads(row["block"]), None
+
+    def count(part, state, m, *asked):
+        rows = Rows(*state[0])
+        rows.begin(m, law, part)
+        return rows.count(packing, *asked), state[1]
+
+    def pass_on(part, state, m, trees):
+        rows = Rows(*state[0])
+        for tree in trees[:-1]:
+            rows.restart()
+            rows.add(packing, *tree)
+        rows.begin(m, law, part)
+        squares = rows.end(packing, *trees[-1])
+        return (rows.codes, rows.y, rows.w, rows.margin), squares
+
+    # The code goes to the executors once, and not with each of the many jobs.
+    kernel = context.broadcast(cloudpickle.dumps({f.__name__: f for f in (unpack, count, pass_on)}))
+
+    def over(blocks, name: str, *given):
+        def run(part, states):
+            for state in states:
+                yield pickle.loads(kernel.value)[name](part, state, *given)
+
+        return blocks.mapPartitionsWithIndex(run)
+
+    def total(found) -> tuple:
+        if found.getNumPartitions() > BLOCKS_AT_ONCE:
+            return found.treeReduce(lambda a, b: tuple(None if x is None else x + y for x, y in zip(a, b, strict=True)))
+        return tuple(None if parts[0] is None else sum(parts) for parts in zip(*found.collect(), strict=True))
+
+    first = over(binned.mapInArrow(pack, "block binary").rdd, "unpack")
+    trees, added_trees, last = [], [], None
+    state = first.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for m in range(law["rounds"]):
+            found, squares = total(over(state, "count", m, [], [0], 1))
+            if last:
+                trees.append(saved(trees.pop(), squares))
+                last.unpersist()
+            asked = [found]
+            nodes, steps = grow(lambda *ask: asked.pop() if asked else total(over(state, "count", m, *ask))[0], packing, law, m)
+            trees.append(nodes)
+            added_trees.append(added(nodes, steps, law, m))
+            replayed = (m + 1) % REPLAYED == 0
+            last, state = state, over(first if replayed else state, "pass_on", m, added_trees if replayed else added_trees[-1:])
+            state.persist(StorageLevel.MEMORY_AND_DISK)
+        squares = total(state.map(lambda passed: passed[1:]))[0]
+        return [*trees[:-1], saved(trees[-1], squares)]
+    finally:
+        for kept in (last, state):
+            if kept:
+                kept.unpersist()
+        kernel.destroy()
 
 
 def grow(count: Callable, packing: Packing, law: dict, m: int) -> tuple[list[dict], list[dict]]:
@@ -289,7 +389,7 @@ def grow(count: Callable, packing: Packing, law: dict, m: int) -> tuple[list[dic
         with np.errstate(divide="ignore", invalid="ignore"):
             gains = left[2] ** 2 / left[1] + right[2] ** 2 / right[1] - whole[2] ** 2 / whole[1]
         gains = np.where(fits, gains, -np.inf).reshape(len(level), -1)
-        step = {"slot": np.full(len(nodes), -1), "first": [], "group": [], "right": []}
+        step = {"slot": np.full(len(nodes), -1), "first": [], "feature": [], "cut": []}
         pairs = []
         for k, me in enumerate(level):
             best = int(gains[k].argmax())
@@ -297,13 +397,13 @@ def grow(count: Callable, packing: Packing, law: dict, m: int) -> tuple[list[dic
             own = nodes[me]
             if not gain > least or gain / own["weight"] < law["least_gain"]:
                 continue
-            f, group = packing.split[i], packing.group[i]
+            f = packing.split[i]
             own |= {"gain": gain / own["weight"], "feature": f, "threshold": float(packing.thresholds[f][cut])}
             own |= {"left": len(nodes), "right": len(nodes) + 1}
             step["slot"][me] = len(pairs)
             step["first"].append(len(nodes))
-            step["group"].append(group)
-            step["right"].append(np.pad(packing.bin_of(i) > cut, (0, max(packing.sizes) - packing.sizes[group])))
+            step["feature"].append(i)
+            step["cut"].append(cut)
             nodes += [node(*left[:, k, i, cut]), node(*right[:, k, i, cut])]
             pairs.append((k, *sorted((own["left"], own["right"]), key=lambda c: nodes[c]["rows"])))
         if not pairs:

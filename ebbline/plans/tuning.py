@@ -16,6 +16,7 @@ from ebbline import schema
 from ebbline.operators.distributions import histogram
 from ebbline.operators.ordered import ranks, running_totals
 from ebbline.operators.splits import stratified_folds
+from ebbline.plans.boosting import BlockGBT
 from ebbline.plans.features_stage import AccountFeatures
 from ebbline.plans.ledger import Ledger, run_all
 from ebbline.plans.models import SEED, WEIGHT_MODES, first_rounds, gbt, training_frame
@@ -85,6 +86,9 @@ def _value(name: str, value):
     return str(value) if name == "featureSubsetStrategy" else value
 
 
+# Rows up to which a lone fit isn't worth a job a level.
+REFIT_ROWS = 1 << 20
+
 # A row of the ledger: one point fitted on the training part of one fold.
 _TRIAL = "study string, trial int, fold int, params string, job string, score double"
 
@@ -129,7 +133,7 @@ def cross_validate(
     # Exact, and not by bins of the scores.
     evaluator = BinaryClassificationEvaluator(labelCol="label", numBins=0)
 
-    estimators = [gbt(preset, **{name: _value(name, v) for name, v in {**base, **p}.items()}) for p in points]
+    estimators = [gbt(preset, BlockGBT, **{name: _value(name, v) for name, v in {**base, **p}.items()}) for p in points]
 
     def run(trials: list[int], fold: int) -> None:
         # The first has the most rounds.
@@ -157,6 +161,8 @@ def cross_validate(
     kinds = "".join(f", fold_{f} double" for f in range(k))
     trials = spark.createDataFrame(results, f"study string, trial int, params string, score double, std double{kinds}")
     best = max(range(len(points)), key=lambda i: (means[i], -i))
+    # No other fit runs beside this one.
+    estimators[best].alone_rows = REFIT_ROWS
     return rank_trials(trials), PipelineModel([*stages, estimators[best].fit(rows)]), points[best]
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from checks import queries
 from checks.queries import accounts as derive
-from ebbline.plans import boosting, models
+from ebbline.plans import boosting, models, tuning
 
 
 @pytest.fixture(scope="module")
@@ -86,6 +86,22 @@ def test_wrong_labels_and_no_rows_are_errors(rows):
                 fit(kind, wrong)
 
 
+@pytest.mark.parametrize("at_once", [64, 1])
+def test_several_blocks_give_the_trees_of_one(rows, monkeypatch, at_once):
+    drawn = {"subsamplingRate": 0.5, "featureSubsetStrategy": "0.5"}
+    law = {"maxDepth": 4, "maxIter": 7}
+    whole = fit(boosting.BlockGBT, rows, **law)
+    for name, value in {"ALONE_ROWS": 100, "BLOCK_ROWS": 150, "BATCH": 64, "REPLAYED": 3, "BLOCKS_AT_ONCE": at_once}.items():
+        monkeypatch.setattr(boosting, name, value)
+    parts = fit(boosting.BlockGBT, rows, **law)
+    assert scores(parts, rows) == pytest.approx(scores(whole, rows), abs=1e-9)
+    assert list(parts.featureImportances.toArray()) == pytest.approx(list(whole.featureImportances.toArray()), abs=1e-9)
+    one, two = (fit(boosting.BlockGBT, rows, **law, **drawn) for _ in range(2))
+    assert scores(one, rows) == pytest.approx(scores(two, rows), abs=1e-9)
+    # Nothing stays cached.
+    assert not rows.sparkSession.sparkContext._jsc.getPersistentRDDs().size() > 1
+
+
 def test_codes_give_back_their_bins():
     packing = boosting.Packing([[1.0] * (n - 1) for n in (32, 2, 1, 3, 300, 40)])
     assert all(np.prod([packing.bins[i] for i in g]) == s for g, s in zip(packing.groups, packing.sizes, strict=True))
@@ -111,3 +127,21 @@ def test_folds_are_boosted_in_few_jobs(spark):
     assert model.stages[-1].getNumTrees == 200 and model.stages[-1].getOrDefault("maxDepth") == 5
     # Spark's own fit has some jobs a level.
     assert len(tracker.getJobIdsForGroup("boosted in few jobs")) < 200
+
+
+def test_searches_fit_in_few_jobs(spark, monkeypatch):
+    train, context = derive(spark, "/root/testdata/sf0.001"), spark.sparkContext
+    options = {"grid": {"maxDepth": [2], "maxIter": [20, 60]}, "k": 2}
+    context.setJobGroup("searched in few jobs", "")
+    try:
+        trials, model, best = tuning.grid_search(train, **options)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    # Spark's own fit has some jobs a level: three fits of 60 rounds had more than 360.
+    assert len(context.statusTracker().getJobIdsForGroup("searched in few jobs")) < 250
+    for name, value in {"REFIT_ROWS": 40, "BLOCK_ROWS": 50}.items():
+        monkeypatch.setattr(tuning if name == "REFIT_ROWS" else boosting, name, value)
+    again, dealt, point = tuning.grid_search(train, **options)
+    assert point == best and again.drop("study").exceptAll(trials.drop("study")).count() == 0
+    one, two = (dict(models.score(train, m, "m").select("id", "score").collect()) for m in (model, dealt))
+    assert two == pytest.approx(one, abs=1e-9)
