@@ -724,7 +724,7 @@ def _trial_report(trials, k):
 def random_search_small(spark, folder):
     """Five draws of the second preset on three folds (T2, small form), as published."""
     found, _, _ = tuning.random_search(
-        stage(accounts(spark, folder), "accounts"), tuning.SPACE_B_SMALL, n_iter=5, k=3, preset="b", parallelism=8
+        stage(accounts(spark, folder), "accounts"), tuning.SPACE_B_SMALL, n_iter=5, k=3, preset="b", parallelism=_fits_at_once(spark)
     )
     return _trial_report(found, 3)
 
